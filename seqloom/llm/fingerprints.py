@@ -2,7 +2,7 @@
 
 Every shingle (five consecutive words; a shorter text is one) is hashed once. The top bits of the hash choose one of BINS bins, each
 bin keeps its least hash. An empty bin takes the value of a filled one chosen by hashing (bin, attempt), optimal densification; after
-ATTEMPTS misses the bins after it are tried in turn. The low BITS bits of each bin are kept, packed into 64-bit words of 16 hexadecimal digits. The likeness
+ATTEMPTS misses the bins after it are tried in turn. The low BITS bits of each bin are kept, packed as hexadecimal digits. The likeness
 of two fingerprints is the share m of agreeing bins, with the bias of chance agreements taken out: (m - c) / (1 - c), c = 2^-BITS.
 
 How: a row's hashes and one sentinel for each bin (its largest value) are sorted together; the first of each bin is then its minimum,
@@ -23,7 +23,6 @@ from . import common
 WORDS, BIN_BITS, BITS, ATTEMPTS = 5, 7, 8, 32
 BINS = 1 << BIN_BITS
 LOW = (1 << (63 - BIN_BITS)) - 1  # bits of a hash below its bin number
-PER_WORD = 64 // BITS
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -62,19 +61,9 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
 
 def likeness(a: str, b: str) -> Column:
     """Estimated Jaccard similarity of two packed fingerprints."""
-    ones = sum(1 << (BITS * k) for k in range(PER_WORD))
-
-    def word(x: str, g: int) -> Column:
-        return F.conv(F.substring(x, g * 16 + 1, 16), 16, -10).cast("long")
-
-    def differ(x: Column) -> Column:
-        for k in (1, 2, 4):
-            if k < BITS:
-                x = x.bitwiseOR(F.shiftrightunsigned(x, k))
-        return F.bit_count(x.bitwiseAND(ones)).cast("int")
-
-    unlike = sum((differ(word(a, g).bitwiseXOR(word(b, g))) for g in range(BINS // PER_WORD)), F.lit(0))
-    match, chance = (BINS - unlike) / F.lit(float(BINS)), 2.0**-BITS
+    size = BITS // 4
+    same = F.aggregate(F.sequence(F.lit(0), F.lit(BINS - 1)), F.lit(0), lambda acc, g: acc + (F.substring(a, g * size + 1, F.lit(size)) == F.substring(b, g * size + 1, F.lit(size))).cast("int"))
+    match, chance = same / F.lit(float(BINS)), 2.0**-BITS
     value = F.least(F.greatest((match - chance) / (1 - chance), F.lit(0.0)), F.lit(1.0))
     return F.when((F.col(a) == "") | (F.col(b) == ""), (F.col(a) == F.col(b)).cast("double")).otherwise(value)
 
