@@ -1,0 +1 @@
+"""Spark-native mapping of short reference sequences to long reads."""
