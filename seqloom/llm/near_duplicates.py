@@ -166,19 +166,19 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
 
 def components(links: DataFrame) -> DataFrame:
     """node, root (smallest id of its component) of every linked id, by large-star and small-star rounds."""
-    edges = common.stage(links.where(F.col("a") != F.col("b")).distinct(), "edges")
+    edges = common.stage(links.where(F.col("a") != F.col("b")), "edges")
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         # large-star: larger neighbours of u go to the smallest of u and its neighbours
-        least = common.stage(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
-        large = common.stage(both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "large")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = common.stage(both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")), "large")
         # small-star: u and its smaller neighbours go to the smallest of them (edges are a < b, so u is b)
-        low = common.stage(large.groupBy("b").agg(F.min("a").alias("m")), "low")
-        joined = large.join(low, "b")
-        small = common.stage(joined.select(F.col("m").alias("x"), F.col("a").alias("y")).union(low.select(F.col("m").alias("x"), F.col("b").alias("y"))).where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "small")
+        low = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = large.join(low, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).where("x != y").union(low.select(F.col("m").alias("x"), F.col("b").alias("y")))
+        small = common.stage(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "small")
         # a star forest: nothing is both a root and below one, and each has one root
-        mixed = small.select("a").distinct().join(small.select(F.col("b").alias("a")), "a", "left_semi")
-        if mixed.isEmpty() and small.groupBy("b").count().where("count > 1").isEmpty():
+        ends = small.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(small.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("n").agg(F.max("up").alias("up"), F.sum("down").alias("down")).where("up + down > 1").isEmpty():
             return small.select(F.col("b").alias("node"), F.col("a").alias("root"))
         edges = small
 
@@ -193,7 +193,8 @@ def links(keyed: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> tuple
     found = common.stage(verified(tried, texts, least), "links")
     forest, step = None, 1
     while not found.isEmpty():
-        forest = components(found)
+        # later rounds add their links to the forest that there is
+        forest = components(found if forest is None else forest.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
         # buckets whose texts are not in one component yet; a text without a link is its own root
         roots = common.stage(members.join(forest.withColumnRenamed("node", "b"), "b", "left").select("key", "b", F.coalesce("root", "b").alias("root")), "roots")
         chosen = F.min(F.struct(F.xxhash64(F.lit(step), "key", "b").alias("h"), "b", "root")).alias("c")
@@ -201,12 +202,9 @@ def links(keyed: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> tuple
         fresh = roots.join(mixed, "key").where("root != ra").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = common.stage(fresh.join(tried, ["a", "b"], "left_anti"), "fresh")
         more = common.stage(verified(fresh, texts, least), "more")
-        none = more.isEmpty()
-        if none and (step > 1 or fresh.isEmpty()):
+        if more.isEmpty():
             break
-        tried = tried.union(fresh)
-        found = found if none else common.stage(found.union(more), "links")
-        step += 1
+        tried, found, step = tried.union(fresh), found.union(more), step + 1
     return found, forest
 
 
