@@ -30,19 +30,6 @@ WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 4
 #: Ids are broadcast up to this number (about 50 MB in an executor); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _MULT = np.uint64(0x9FB21C651E98DF25)
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
-
-
-def _grow(n: int) -> None:
-    """Powers of an odd multiplier modulo 2^64, and of its inverse, up to n."""
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = max(n, 2 * len(_powers), 1 << 16)
-        inv = np.uint64(pow(int(_MULT), -1, 1 << 64))
-        with np.errstate(over="ignore"):
-            _powers = np.concatenate(([np.uint64(1)], np.cumprod(np.full(size - 1, _MULT))))
-            _inverse = np.concatenate(([np.uint64(1)], np.cumprod(np.full(size - 1, inv))))
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -53,10 +40,8 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     start, end = edge[::2], edge[1::2]
     if not len(start):
         return np.zeros(0, np.uint64)
-    _grow(len(data) + 1)
+    w = common.span_hashes(data, start, end)
     with np.errstate(over="ignore"):
-        total = np.concatenate(([np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[: len(data)])))
-        w = common.splitmix((total[end] - total[start]) * _inverse[start])
         n = max(1, len(w) - words + 1)
         out = np.zeros(n, np.uint64)
         for k in range(min(words, len(w))):

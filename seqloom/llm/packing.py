@@ -36,14 +36,14 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = Non
     def run(batches):
         from pyspark import TaskContext
 
-        enc, part, end, seen = tokens.encoder(path), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes(), np.zeros(capacity + 1, np.int64)
+        enc, part, end, seen = tokens.encoder(path), TaskContext.get().partitionId(), np.array([end_id], "<u4"), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             texts, doc_ids, rows = common.texts(batch), batch.column("doc_id").to_pylist(), []
             for block in tokens.blocks(texts):
                 for doc_id, value in zip(doc_ids[block], enc.encode(texts[block])):
-                    value += end
-                    n, at, piece = len(value) // 4, 0, 0
-                    data = memoryview(value)
+                    value = np.concatenate((value, end)).astype("<u4", copy=False)
+                    n, at, piece = len(value), 0, 0
+                    data = memoryview(value.view(np.uint8))
                     while at < n:
                         k = min(capacity, (n - at - 1) % capacity + 1)  # the first piece takes the rest
                         rows.append((doc_id, piece, at, k, zlib.crc32(data[4 * at : 4 * (at + k)]), part, int(seen[k])))

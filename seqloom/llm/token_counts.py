@@ -38,18 +38,22 @@ def leaves(text: str, size: int = LEAF) -> list[str]:
 class Tree:
     """Leaves as strings; sums[0] of characters and sums[1] of tokens, as a heap."""
 
-    def __init__(self, text: str, enc: tokens.Encoder, size: int = LEAF):
-        self.enc, self.encoded = enc, 0
-        self.leaf = leaves(text, size)
+    def __init__(self, leaf: list[str], n_tokens: np.ndarray, enc: tokens.Encoder):
+        self.enc, self.encoded, self.leaf = enc, 0, leaf
         self.width = 1 << max(0, len(self.leaf) - 1).bit_length()
         self.sums = np.zeros((2, 2 * self.width), np.int64)
         self.sums[0, self.width : self.width + len(self.leaf)] = [len(x) for x in self.leaf]
-        self.sums[1, self.width : self.width + len(self.leaf)] = [len(v) // 4 for v in enc.encode(self.leaf)]
+        self.sums[1, self.width : self.width + len(self.leaf)] = n_tokens
         w = self.width
         while w > 1:
             w //= 2
             self.sums[:, w : 2 * w] = self.sums[:, 2 * w : 4 * w : 2] + self.sums[:, 2 * w + 1 : 4 * w : 2]
 
+    @classmethod
+    def of(cls, text: str, enc: tokens.Encoder, size: int = LEAF) -> Tree:
+        leaf = leaves(text, size)
+        return cls(leaf, enc.counts(leaf), enc)
+
     @property
     def n_tokens(self) -> int:
         return int(self.sums[1, 1])
@@ -96,7 +100,7 @@ class Tree:
             self.leaf[i] = ""
         self.encoded += len(joined)
         for i in range(low, high + 1):
-            self._set(i, len(self.leaf[i]), len(self.enc.encode([joined])[0]) // 4 if i == low else 0)
+            self._set(i, len(self.leaf[i]), len(self.enc.whole(joined)) if i == low else 0)
 
     def _last(self, i: int) -> bool:
         """Leaf i ends with a non-space (so a leaf may start after it)."""
@@ -123,15 +127,23 @@ def count(docs: DataFrame, edits=own_edits, path: str | None = None) -> DataFram
         enc = tokens.encoder(path)
 
         def work(batch):
-            rows = []
-            for text in common.texts(batch):
-                tree = Tree(text or "", enc)
+            rows, texts = [], common.texts(batch)
+            for part in tokens.blocks(texts):
+                rows += some(texts[part])
+            names = ("n_chars", "n_tokens", "n_leaves", "edited_chars", "edited_tokens", "encoded_again")
+            return {"doc_id": batch.column("doc_id")} | {k: [r[i] for r in rows] for i, k in enumerate(names)}
+
+        def some(texts):
+            rows, split = [], [leaves(t or "") for t in texts]
+            n, at = enc.counts([x for s in split for x in s]), 0
+            for text, leaf in zip(texts, split):
+                tree = Tree(leaf, n[at : at + len(leaf)], enc)
+                at += len(leaf)
                 row = [tree.n_chars, tree.n_tokens, len(tree.leaf)]
                 for e in edits(text or ""):
                     tree.edit(*e)
                 rows.append([*row, tree.n_chars, tree.n_tokens, tree.encoded])
-            names = ("n_chars", "n_tokens", "n_leaves", "edited_chars", "edited_tokens", "encoded_again")
-            return {"doc_id": batch.column("doc_id")} | {k: [r[i] for r in rows] for i, k in enumerate(names)}
+            return rows
 
         return work
 

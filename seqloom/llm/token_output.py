@@ -1,15 +1,16 @@
 """Token-id files: ids are replaced by frequency ranks and coded in 1 to 4 bytes, with the lengths in separate control bytes.
 
 A file is a run of blocks. A block: magic, number of documents, number of ids, bytes of data (u32, u32, u32, u64), then each
-document's id (i64) and number of ids (u32), then control bytes (2 bits an id: its length less 1, four ids a byte), then the data
-bytes, little-endian. `ranks.bin` beside the files holds the id of each rank (u32). Decoding looks up the four lengths of a control
+document's id (i64) and number of ids (u32), then control bytes (2 bits an id: its length less 1, four ids a byte; each document
+begins a byte), then the data bytes, little-endian. `ranks.bin` beside the files holds the id of each rank (u32). Decoding looks up the four lengths of a control
 byte in a table and gathers all ids of a block with numpy.
 
-Two passes read the texts: one counts ids, one deals texts into doc_id ranges, encodes and writes a file for each range. A
+Texts are encoded once, into a table of ids in the shared folder. One pass over it counts ids; a second codes each document by rank, deals
+the coded bytes into doc_id ranges and writes a file for each range. A
 file is written under a name of its own attempt, and only files that the job returns are listed, so lost executors do no harm.
 
 Defined results: a null text is empty and has the end id alone; documents with one doc_id or a null one stay next to each
-other, nulls first, equal ids in order of text; an empty table gives no files and no rows.
+other, nulls first, equal ids in order of length and coded bytes; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql.types import _parse_datatype_string as schema
 
 from . import common, tokens
 
-END_ID, MAGIC, BLOCK_IDS, FILE_CHARS = 2, 0x314B4F54, 1 << 19, 48_000_000
+END_ID, MAGIC, BLOCK_IDS, FILE_IDS = 2, 0x314B4F54, 1 << 19, 16_000_000
 NULL_ID = -(1 << 63)
 
 # ---- coding
@@ -49,11 +50,14 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     return control.tobytes(), data[np.arange(4) < n[:, None]].tobytes()
 
 
-def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The ranks again."""
-    size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    at = np.zeros(n, np.int64)
-    np.cumsum(size[:-1], out=at[1:])
+def unpack(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
+    """The ranks of all documents again; counts: how many each has."""
+    counts = counts.astype(np.int64)
+    n, bytes_ = int(counts.sum()), -(-counts // 4)
+    # where a document's ids lie among the lengths, as each begins a control byte
+    shift = np.repeat(4 * (np.cumsum(bytes_) - bytes_) - (np.cumsum(counts) - counts), counts)
+    size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[shift + np.arange(n)]
+    at = np.cumsum(size, dtype=np.int64) - size
     padded = np.frombuffer(data + b"\0\0\0", np.uint8)
     out = padded[at].astype(np.uint32)
     for k in (1, 2, 3):
@@ -64,23 +68,23 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def block_bytes(docs: list[tuple[int, np.ndarray]], rank: np.ndarray) -> bytes:
-    ids = np.concatenate([x for _, x in docs])
-    control, data = pack(rank[ids])
-    head = np.array([MAGIC, len(docs), len(ids)], "<u4").tobytes() + np.array([len(data)], "<u8").tobytes()
-    return head + np.array([d for d, _ in docs], "<i8").tobytes() + np.array([len(x) for _, x in docs], "<u4").tobytes() + control + data
+def block_bytes(docs: list[tuple[int, int, bytes, bytes]]) -> bytes:
+    """Of (doc id, number of ids, control bytes, data bytes)."""
+    data = b"".join(x[3] for x in docs)
+    head = np.array([MAGIC, len(docs), sum(x[1] for x in docs)], "<u4").tobytes() + np.array([len(data)], "<u8").tobytes()
+    return b"".join([head, np.array([x[0] for x in docs], "<i8").tobytes(), np.array([x[1] for x in docs], "<u4").tobytes(), *(x[2] for x in docs), data])
 
 
 def read_blocks(f, id_of: np.ndarray):
     """Of each block: doc ids, lengths, and the ids of all its documents."""
     while head := f.read(20):
-        magic, docs, ids = np.frombuffer(head, "<u4", 3).tolist()
+        magic, docs, _ = np.frombuffer(head, "<u4", 3).tolist()
         if magic != MAGIC:
             raise ValueError("not a token file")
         size = int(np.frombuffer(head, "<u8", 1, 12)[0])
         doc_ids, n = np.frombuffer(f.read(8 * docs), "<i8"), np.frombuffer(f.read(4 * docs), "<u4")
-        control = f.read(-(-ids // 4))
-        yield doc_ids, n, id_of[unpack(control, f.read(size), ids)]
+        control = f.read(int((-(-n.astype(np.int64) // 4)).sum()))
+        yield doc_ids, n, id_of[unpack(control, f.read(size), n)]
 
 
 # ---- storage: any file system that pyarrow reaches by the address of the shared folder
@@ -95,35 +99,46 @@ def storage(address: str):
 # ---- operator
 
 
-def count_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> tuple[np.ndarray, int]:
-    """How often each id occurs, the end ids included, and the characters of all texts. What reaches the driver is bounded by the vocabulary."""
+def encoded(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+    """doc_id, ids: the ids of every document, the end id included, as bytes (u16, or u32 for a vocabulary over 65,536), and their width."""
 
     def run(batches):
-        enc, total, chars = tokens.encoder(path), np.zeros(0, np.int64), 0
+        enc, end = tokens.encoder(path), np.array([end_id], np.uint32)
+        kind = "<u2" if enc.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
-            texts = common.texts(batch)
-            chars += sum(len(t or "") for t in texts)
+            texts, out = common.texts(batch), []
             for part in tokens.blocks(texts):
-                ids = tokens.ids_of(b"".join(enc.encode(texts[part])))
-                n = np.bincount(ids, minlength=max(len(total), end_id + 1))
+                out += [np.concatenate((x, end)).astype(kind).tobytes() for x in enc.encode(texts[part])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary()), pa.array([int(kind[2])] * len(out), pa.int32())], names=["doc_id", "ids", "width"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, width int")
+
+
+def count_ids(table: DataFrame) -> np.ndarray:
+    """How often each id occurs. What reaches the driver is bounded by the vocabulary."""
+
+    def run(batches):
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for ids, width in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist()):
+                n = np.bincount(np.frombuffer(ids, f"<u{width}"), minlength=len(total))
                 n[: len(total)] += total
-                n[end_id] += part.stop - part.start
                 total = n
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1), pa.int64()), pa.array(np.append(total[seen], chars), pa.int64())], names=["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(max([end_id, *(r.id for r in rows)]) + 1, np.int64)
+    rows = table.select("ids", "width").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(max([0, *(r.id for r in rows)]) + 1, np.int64)
     for r in rows:
-        if r.id >= 0:
-            out[r.id] = r.n
-    return out, sum(r.n for r in rows if r.id < 0)
+        out[r.id] = r.n
+    return out
 
 
-def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, file_chars: int = FILE_CHARS) -> list[tuple[str, int, int]]:
+def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, file_ids: int = FILE_IDS) -> list[tuple[str, int, int]]:
     """Writes the files; returns (name, first position of its ids, number of ids) of each in order of doc_id."""
     spark = docs.sparkSession
-    counts, chars = count_ids(docs, path, end_id)
+    table = common.stage(encoded(docs, path, end_id), "ids")
+    counts = count_ids(table)
     id_of = np.argsort(-counts, kind="stable").astype("<u4")
     rank = np.empty(len(id_of), np.uint32)
     rank[id_of] = np.arange(len(id_of), dtype=np.uint32)
@@ -132,17 +147,29 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     with fs.open_output_stream(f"{at}/ranks.bin") as f:
         f.write(id_of.tobytes())
     shared = spark.sparkContext.broadcast(rank)
+
+    def code(batches):
+        for batch in batches:
+            n, control, data = [], [], []
+            for ids, width in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist()):
+                ids = np.frombuffer(ids, f"<u{width}")
+                c, d = pack(shared.value[ids])
+                n.append(len(ids)), control.append(c), data.append(d)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=["doc_id", "n", "control", "data"])
+
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = common.id_ranges(docs, max(4 * tasks, -(-chars // file_chars)))
-    df = docs.select(common.in_range("doc_id", cuts).alias("r"), F.col("doc_id").cast("long").alias("doc_id"), "text").repartition("r").sortWithinPartitions("r", F.col("doc_id").asc_nulls_first(), "text")
+    cuts = common.id_ranges(table, max(4 * tasks, -(-int(counts.sum()) // file_ids)))
+    coded = table.mapInArrow(code, "doc_id long, n long, control binary, data binary").withColumn("r", common.in_range("doc_id", cuts))
+    df = coded.repartition("r").sortWithinPartitions("r", F.col("doc_id").asc_nulls_first(), "n", "data")
 
     def run(batches):
-        enc, out, name, f, fs, n, waiting, size, now = tokens.encoder(path), [], "", None, None, 0, [], 0, None
+        out, name, f, n, waiting, size, now = [], "", None, 0, [], 0, None
+        fs, at = storage(folder)
 
         def flush():
             nonlocal waiting, size
             if waiting:
-                f.write(block_bytes(waiting, shared.value))
+                f.write(block_bytes(waiting))
                 waiting, size = [], 0
 
         def close():
@@ -151,20 +178,16 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
             out.append((now, name, n))
 
         for batch in batches:
-            texts, ranges, doc_ids = common.texts(batch), batch.column("r").to_pylist(), batch.column("doc_id").to_pylist()
-            for part in tokens.blocks(texts):
-                for r, doc_id, value in zip(ranges[part], doc_ids[part], enc.encode(texts[part])):
-                    if r != now:
-                        if f is not None:
-                            close()
-                        fs, at = storage(folder)
-                        now, name, n = r, f"part-{r:08d}-{uuid.uuid4().hex}.bin", 0
-                        f = fs.open_output_stream(f"{at}/{name}")
-                    ids = np.append(tokens.ids_of(value), np.uint32(end_id))
-                    waiting.append((NULL_ID if doc_id is None else doc_id, ids))
-                    n, size = n + len(ids), size + len(ids)
-                    if size >= BLOCK_IDS:
-                        flush()
+            for r, doc_id, k, control, data in zip(*(batch.column(c).to_pylist() for c in ("r", "doc_id", "n", "control", "data"))):
+                if r != now:
+                    if f is not None:
+                        close()
+                    now, name, n = r, f"part-{r:08d}-{uuid.uuid4().hex}.bin", 0
+                    f = fs.open_output_stream(f"{at}/{name}")
+                waiting.append((NULL_ID if doc_id is None else doc_id, k, control, data))
+                n, size = n + k, size + k
+                if size >= BLOCK_IDS:
+                    flush()
         if f is not None:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["r", "name", "n"])

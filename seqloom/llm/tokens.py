@@ -1,20 +1,27 @@
 """Whole-text encoding with the tokenizers library, piece by piece.
 
-A byte-level BPE pre-tokeniser always starts a new pre-token at a single space between two non-space characters, so a text
-may be cut there, each piece encoded once, and the ids joined: the ids equal those of the whole text. Pieces are kept in a
-bounded two-generation cache that lives as long as the Python worker. A text with a piece that is empty or starts or ends
-with white space (where the rule does not hold) is encoded whole.
+A byte-level BPE pre-tokeniser always starts a new pre-token at a single space between two non-space characters, makes a single line end
+between two such a pre-token of its own, and one of a point or comma that follows a letter and precedes white space or the end. So a
+text may be cut there, each different piece encoded once, and the ids joined: the ids equal those of the whole text. Texts of a block are
+laid end to end; pieces are found, hashed (64 bits) and numbered with numpy, and only pieces that the cache lacks become strings. These
+are encoded in one call, a line each: the line end's id marks where a piece's ids end. The cache is bounded and lives as long as the worker. A text with a piece that is empty or starts or ends with white space (where the rule doesn't hold)
+is encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-from array import array
 
 import numpy as np
 
+from . import common
+
 VOCABULARY = "byte_bpe_50k.json"
-CACHE, LONG_PIECE = 250_000, 200
+CACHE, LONG_PIECE = 500_000, 64
+#: Mixed into the hash of a text's first piece, and of a piece after a line end.
+FIRST, AFTER_LINE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 def default_path() -> str:
@@ -24,61 +31,135 @@ def default_path() -> str:
 
 
 class Encoder:
-    """values: pieces to bytes of little-endian uint32 ids."""
-
     def __init__(self, path: str | None = None, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path or default_path()), cache
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def fill(self, missing: list[str]) -> dict:
-        """Values of the pieces, each with a space before it; False for an unsafe one."""
-        out: dict = {}
-        for p in missing:
-            if not p or p[0].isspace() or p[-1].isspace():
-                out[p] = False
-        rest = [p for p in missing if p not in out]
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast([" " + p for p in rest], add_special_tokens=False)):
-            out[p] = array("I", e.ids).tobytes()
-        return out
-
-    def values(self, pieces: list[str]) -> list:
-        got = list(map(self.young.get, pieces))
-        if None in got:
-            new, local = [], {}
-            for p in {pieces[i] for i, v in enumerate(got) if v is None}:
-                v = self.old.get(p)
-                if v is None:
-                    new.append(p)
-                else:
-                    local[p] = v
-            local |= self.fill(new)
-            if len(self.young) > self.cache:
-                self.old, self.young = self.young, {}
-            self.young.update((p, v) for p, v in local.items() if len(p) <= LONG_PIECE)
-            got = [local[p] if v is None else v for p, v in zip(pieces, got)]
-        return got
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Bytes of the ids of each text; null is empty."""
-        split = [t.split(" ") if t else [] for t in texts]
-        flat = [p for s in split for p in s[1:]]
-        got, out, at = self.values(flat), [], 0
-        firsts = self.tokenizer.encode_batch_fast([s[0] if s else "" for s in split], add_special_tokens=False)
-        for text, s, first in zip(texts, split, firsts):
-            n = max(0, len(s) - 1)
-            own, at = got[at : at + n], at + n
-            if n and (s[0] == "" or s[0][-1].isspace() or False in own):
-                out.append(self.whole(text))
+        line = self.tokenizer.encode("a\n b", add_special_tokens=False)
+        self.line = line.ids[1] if len(line.ids) == 3 else None
+        self.mark = np.zeros(256, np.uint32)  # ids of a point and a comma after a letter
+        for c in b".,":
+            self.mark[c] = self.tokenizer.encode("a" + chr(c), add_special_tokens=False).ids[-1]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[int, int] = {}
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)  # size -1: unsafe
+        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _store(self, key: int, ids) -> None:
+        k = len(self.known)
+        if k == len(self.size):
+            self.start, self.size = np.resize(self.start, 2 * k), np.resize(self.size, 2 * k)
+        n = -1 if ids is None else len(ids)
+        while n > 0 and self.used + n > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        if n > 0:
+            self.flat[self.used : self.used + n] = ids
+        self.known[key], self.start[k], self.size[k] = k, self.used, n
+        self.used += max(n, 0)
+
+    def _fill(self, keys: list[int], pieces: list[str], kinds: list[int]) -> None:
+        """Ids of new pieces. kinds: 0 after a space, 1 first of its text, 2 after a line end (which belongs to it)."""
+        lines: list[tuple[int, str]] = []
+        for key, p, kind in zip(keys, pieces, kinds):
+            if kind == 1 and not p:
+                self._store(key, [])
+            elif not p or p[-1].isspace() or (kind != 1 and p[0].isspace()):
+                self._store(key, None)
+            elif kind or self.line is None or len(p) > LONG_PIECE or not p.isprintable():
+                ids = self.whole(" " + p if kind == 0 else p)
+                self._store(key, np.append(np.uint32(self.line or 0), ids) if kind == 2 else ids)
             else:
-                out.append(array("I", first.ids).tobytes() + b"".join(own))
-        return out
+                lines.append((key, p))
+        if not lines:
+            return
+        ids = self.whole("".join(f" {p}\n" for _, p in lines) + " a")
+        ends = np.flatnonzero(ids == self.line)
+        if len(ends) != len(lines):  # a piece has the line's id itself: one at a time
+            for key, p in lines:
+                self._store(key, self.whole(" " + p))
+            return
+        ids, n = np.delete(ids[: ends[-1] + 1], ends), np.diff(ends, prepend=-1) - 1
+        k = len(self.known)
+        while k + len(n) > len(self.size):
+            self.start, self.size = np.resize(self.start, 2 * len(self.size)), np.resize(self.size, 2 * len(self.size))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.size[k : k + len(n)], self.start[k : k + len(n)] = n, self.used + np.cumsum(n) - n
+        self.used += len(ids)
+        self.known.update(zip((key for key, _ in lines), range(k, k + len(n))))
+
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, end to end, and how many each has; null is empty."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        raw = [(t or "").encode() for t in texts]
+        joined = b" ".join(raw) + b" "
+        data, length = np.frombuffer(joined, np.uint8), np.fromiter(map(len, raw), np.int64, len(raw))
+        begin = np.cumsum(length + 1) - length - 1
+        end = np.flatnonzero((data == 32) | (data == 10)) if self.line is not None else np.flatnonzero(data == 32)
+        start = np.concatenate(([0], end[:-1] + 1))
+        first = np.searchsorted(start, begin)  # the first piece of each text
+        kind = np.zeros(len(start), np.int8)
+        kind[1:] = 2 * (data[end[:-1]] == 10)
+        kind[first] = 1
+        # a piece's last point or comma is set aside where a letter stands before it
+        last, before = data[np.maximum(end - 1, 0)], data[np.maximum(end - 2, 0)]
+        marked = (end - start >= 2) & ((last == 46) | (last == 44)) & _LETTER[before]
+        end = end - marked
+        h = common.span_hashes(data, start, end)
+        h[kind == 1] ^= FIRST
+        h[kind == 2] ^= AFTER_LINE
+        u, at, back = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.known) > self.cache:
+            self._clear()
+        keys = u.tolist()
+        slots = list(map(self.known.get, keys))
+        if None in slots:
+            miss = [i for i, s in enumerate(slots) if s is None]
+            where = at[miss]
+            self._fill([keys[i] for i in miss], [joined[a:b].decode() for a, b in zip(start[where].tolist(), end[where].tolist())], kind[where].tolist())
+            slots = list(map(self.known.__getitem__, keys))
+        slot = np.array(slots, np.int64)[back]
+        size = self.size[slot].astype(np.int64)
+        owner = np.searchsorted(first, np.arange(len(start)), "right") - 1
+        if (size < 0).any():
+            return self._mixed(texts, np.unique(owner[size < 0]))
+        whole = size + marked
+        ends = np.cumsum(whole)
+        at = np.repeat(self.start[slot] - (ends - whole), whole) + np.arange(int(ends[-1]))
+        at[ends[marked] - 1] = 0
+        ids = self.flat[at]
+        ids[ends[marked] - 1] = self.mark[last[marked]]
+        return ids, np.bincount(owner, whole, len(texts)).astype(np.int64)
+
+    def _mixed(self, texts: list, unsafe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bad = set(unsafe.tolist())
+        ids, n = self.encode_flat([t for i, t in enumerate(texts) if i not in bad])
+        parts, counts, at, k = [], [], 0, 0
+        for i, t in enumerate(texts):
+            if i in bad:
+                parts.append(self.whole(t))
+            else:
+                parts.append(ids[at : at + n[k]])
+                at, k = at + int(n[k]), k + 1
+            counts.append(len(parts[-1]))
+        return np.concatenate(parts), np.array(counts, np.int64)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text."""
+        ids, n = self.encode_flat(texts)
+        ends = np.cumsum(n)
+        return [ids[e - k : e] for e, k in zip(ends.tolist(), n.tolist())]
+
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        return self.encode_flat(texts)[1]
 
 
 _encoders: dict = {}
@@ -91,7 +172,7 @@ def encoder(path: str | None = None) -> Encoder:
     return _encoders[path]
 
 
-def blocks(texts: list, most: int = 2_000_000):
+def blocks(texts: list, most: int = 1_000_000):
     """Slices of the list that hold about `most` characters."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -101,7 +182,3 @@ def blocks(texts: list, most: int = 2_000_000):
             start, size = i + 1, 0
     if start < len(texts):
         yield slice(start, len(texts))
-
-
-def ids_of(value: bytes) -> np.ndarray:
-    return np.frombuffer(value, "<u4")
