@@ -36,7 +36,7 @@ def fastq(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
             cols = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in cols], names=["name", "seq", "qual"])
 
-    whole = spark.read.option("wholetext", True).text(path).mapInArrow(run, "name string, seq string, qual string")
+    whole = spark.read.text(path, wholetext=True).mapInArrow(run, "name string, seq string, qual string")
     out = whole.withColumn("read_id", F.monotonically_increasing_id()).select("read_id", dna.first_word(F.col("name")).alias("name"), "seq", "qual")
     bad = F.col("qual").isNotNull() & (F.length("qual") != F.length("seq"))
     if strict:
