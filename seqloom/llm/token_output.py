@@ -120,8 +120,8 @@ def count_ids(table: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids, width in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist()):
-                n = np.bincount(np.frombuffer(ids, f"<u{width}"), minlength=len(total))
+            if batch.num_rows:
+                n = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), f"<u{batch.column('width')[0].as_py()}"), minlength=len(total))
                 n[: len(total)] += total
                 total = n
         seen = np.flatnonzero(total)

@@ -17,7 +17,7 @@ import numpy as np
 from . import common
 
 VOCABULARY = "byte_bpe_50k.json"
-CACHE, LONG_PIECE = 500_000, 64
+CACHE, LONG_PIECE = 900_000, 64
 #: Mixed into the hash of a text's first piece, and of a piece after a line end.
 FIRST, AFTER_LINE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _LETTER = np.zeros(256, bool)
