@@ -29,11 +29,15 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir of the session, or a temporary one where it is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="seqloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        # the setting can't be changed in a running session, so the folder is kept here
+        root = _own_roots.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="seqloom-")
+        _own_roots[spark.sparkContext.applicationId] = root
     return root.rstrip("/")
 
 
+_own_roots: dict[str, str] = {}
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared one, removed when the driver ends."""
     path = f"{shared_root(spark)}/seqloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
