@@ -8,7 +8,7 @@ verified by that similarity, computed exactly.
 
 Scale. Equal word sequences fall together first (a hash aggregation with partial sums). In a band's bucket every text is compared
 with the bucket's centre alone, never all pairs; rows are dealt by plain exchanges that adaptive execution may split. Texts that
-stay apart in a bucket are compared with other centres, new ones for each band, round after round, until no round links anything.
+stay apart in a bucket are compared with up to CENTRES new ones, others for each band, round after round, until no round links anything.
 Components come from min-label propagation in tables. Nothing of the documents reaches the driver but counts.
 
 Defined results: null texts and wordless texts have no shingles: null ones and null doc_ids stay alone, equal wordless texts are copies. The class
@@ -29,6 +29,8 @@ from . import common, tokens
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 4
 #: Ids are broadcast up to this number (about 50 MB in an executor); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: New centres of a bucket in a round, of different components.
+CENTRES = 4
 _MULT = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -151,12 +153,12 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
 
 def components(links: DataFrame) -> DataFrame:
     """node, root (smallest id of its component) of every linked id, by large-star and small-star rounds."""
-    edges = common.stage(links.where(F.col("a") != F.col("b")), "edges")
+    edges = links.where(F.col("a") != F.col("b"))
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         # large-star: larger neighbours of u go to the smallest of u and its neighbours
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = common.stage(both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")), "large")
+        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         # small-star: u and its smaller neighbours go to the smallest of them (edges are a < b, so u is b)
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).where("x != y").union(low.select(F.col("m").alias("x"), F.col("b").alias("y")))
@@ -182,8 +184,11 @@ def links(keyed: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> tuple
         forest = components(found if forest is None else forest.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
         # buckets whose texts are not in one component yet; a text without a link is its own root
         roots = common.stage(members.join(forest.withColumnRenamed("node", "b"), "b", "left").select("key", "b", F.coalesce("root", "b").alias("root")), "roots")
-        chosen = F.min(F.struct(F.xxhash64(F.lit(step), "key", "b").alias("h"), "b", "root")).alias("c")
-        mixed = common.stage(roots.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), chosen).where("r0 != r1").select("key", F.col("c.b").alias("a"), F.col("c.root").alias("ra")), "mixed")
+        one = F.struct(F.xxhash64(F.lit(step), "key", "b").alias("h"), "b", "root")
+        slot = F.pmod(F.xxhash64(F.lit(-step), "key", "root"), F.lit(CENTRES))
+        chosen = F.array(*[F.min(F.when(slot == i, one)) for i in range(CENTRES)]).alias("c")
+        mixed = roots.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), chosen).where("r0 != r1")
+        mixed = common.stage(mixed.select("key", F.explode(F.filter("c", lambda x: x.isNotNull())).alias("c")).select("key", F.col("c.b").alias("a"), F.col("c.root").alias("ra")), "mixed")
         fresh = roots.join(mixed, "key").where("root != ra").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = common.stage(fresh.join(tried, ["a", "b"], "left_anti"), "fresh")
         more = common.stage(verified(fresh, texts, least), "more")
@@ -201,7 +206,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = common.stage(signed(docs, bands, rows), "signatures")
     first = common.stage(sig.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "first")
-    member = common.stage(sig.select("doc_id", "k1", "k2").join(first, ["k1", "k2"]).select("doc_id", "rep"), "member")
+    member = sig.select("doc_id", "k1", "k2").join(first, ["k1", "k2"]).select("doc_id", "rep")
     own = sig.select("doc_id", "keys").join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     keyed = common.stage(own.select("doc_id", F.explode("keys").alias("key")), "keyed")
     found, forest = links(keyed, docs, least)
