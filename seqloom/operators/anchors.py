@@ -219,26 +219,72 @@ def za_tag(seq: str, best, opt: Anchors) -> str:
     """The ZA tag of a read with a window."""
     _, _, size, start, order, s, e = best
     first, last = ((s, e) if order == 0 else (e, s))
-    state = lambda a, hit: "na" if not a else "pass" if hit else "fail"
-    out = [f"ZA:Z:ori={'RC' if order else 'FWD'}", f"ins={start + 1},{size}", f"ast=5:{state(opt.a5, first)},3:{state(opt.a3, last)}"]
+    out = [f"ZA:Z:ori={'RC' if order else 'FWD'}", f"ins={start + 1},{size}", _status(opt, first, last)]
     for name, hit, a in (("a5", first, opt.a5), ("a3", last, opt.a3)):
         if hit:
-            out.append(f"{name}={hit[0] + 1}-{hit[1]},ed={hit[2]},md={anchor_md(seq[hit[0] : hit[1]].upper(), turned(a) if order else a)}")
+            out.append(_detail(name, seq, hit, turned(a) if order else a))
     return ";".join(out)
 
 
-def reason(seq: str | None, opt: Anchors, expected: int) -> str:
-    """Why a read has no window: a two-sided pair of another length, or no anchor."""
+def _status(opt: Anchors, first, last, three: bool = True) -> str:
+    """pass, fail or na of both anchors; three: the 3' anchor was looked for."""
+    five = "pass" if first else "fail" if opt.a5 else "na"
+    return f"ast=5:{five},3:{'pass' if last else 'fail' if opt.a3 and three else 'na'}"
+
+
+def _detail(name: str, seq: str, hit, anchor: str) -> str:
+    return f"{name}={hit[0] + 1}-{hit[1]},ed={hit[2]},md={anchor_md(seq[hit[0] : hit[1]].upper(), anchor)}"
+
+
+def nearest(text: str, pattern: str) -> tuple[int, int, int] | None:
+    """(start, end, errors) of the place most like the pattern: fewest errors, then earliest start, nearest length, first end."""
+    if not text:
+        return None
+    key = table(np.frombuffer(text.encode("ascii", "replace"), np.uint8), np.frombuffer(pattern.encode(), np.uint8))[1:]
+    ends = np.flatnonzero(key == key.min())  # edits and start are one number
+    begin = int(key.min() & (BIG - 1))
+    end = 1 + int(ends[np.argmin(np.abs(ends + 1 - begin - len(pattern)))])
+    return begin, end, int(key.min() >> 32)
+
+
+def _failed(name: str, text: str, anchor: str) -> list[str]:
+    hit = nearest(text, anchor)
+    return [] if hit is None else [f"{name}={hit[0] + 1}-{hit[1]},len={hit[1] - hit[0]},ed={hit[2]},md={anchor_md(text[hit[0] : hit[1]], anchor)}"]
+
+
+def single_start(text: str, opt: Anchors):
+    """(errors, start, length, orientation, hit) of a two-sided pair's first anchor alone: a5, or a3 turned round; exact before approximate."""
+    for find in (lambda p: exact_hits(text, p, 0), lambda p: near_hits(text, p, opt.max_error, 0)):
+        found = [(h[2], h[0], len(p), order, h) for order, p in enumerate((opt.a5, turned(opt.a3))) for h in find(p)]
+        if found:
+            return min(found)
+    return None
+
+
+def unmapped_tag(seq: str | None, opt: Anchors, expected: int) -> str:
+    """The ZA tag of a read without a window: a two-sided pair of another length, one anchor alone, or the places most like the anchors."""
     text = (seq or "").upper()
-    if opt.a5 and opt.a3:
-        best = windows(text, opt, None, (1, 1 << 31)) or (windows(text, opt, opt.max_error, (1, 1 << 31)) if opt.max_error else None)
-        if best is not None:
-            return "insert_len_lt" if best[2] < expected else "insert_len_gt" if best[2] > expected else "anchor_window_rejected"
-    return "anchor_not_found"
+    if not (opt.a5 and opt.a3):
+        # one anchor; only it is looked for
+        return ";".join(["ZA:Z:reason=anchor_not_found", _status(opt, None, None), *(_failed("a5f", text, opt.a5) if opt.a5 else _failed("a3f", text, opt.a3))])
+    best = windows(text, opt, None, (1, 1 << 31)) or (windows(text, opt, opt.max_error, (1, 1 << 31)) if opt.max_error else None)
+    if best is not None:
+        why = "insert_len_lt" if best[2] < expected else "insert_len_gt" if best[2] > expected else "anchor_window_rejected"
+        head, rest = za_tag(text, best, opt).split(";ast=")
+        return f"{head};exp={expected};reason={why};ast={rest}"
+    one = single_start(text, opt)
+    if one is not None:
+        order, hit = one[3], one[4]
+        if order:
+            parts = ["ZA:Z:ori=RC;partial=1", _status(opt, None, hit), _detail("a3rc", text, hit, turned(opt.a3)), *_failed("a5f", text, turned(opt.a5))]
+        else:
+            parts = ["ZA:Z:ori=FWD;partial=1", _status(opt, hit, None), _detail("a5", text, hit, opt.a5), *_failed("a3f", text, opt.a3)]
+        return ";".join(parts)
+    return ";".join(["ZA:Z:reason=anchor_not_found", _status(opt, None, None, three=False), *_failed("a5f", text, opt.a5)])
 
 
 def tags(reads: DataFrame, opt: Anchors) -> DataFrame:
-    """read_id, mapped_window, tag: the ZA tag of reads with a window, the reason of the others."""
+    """read_id, has_window, tag: the ZA tag of reads with a window and of the others."""
 
     def run(batches):
         for batch in batches:
@@ -246,7 +292,7 @@ def tags(reads: DataFrame, opt: Anchors) -> DataFrame:
             for seq in batch.column("seq").to_pylist():
                 best = extract(seq, opt)
                 found.append(best is not None)
-                out.append(za_tag(seq, best, opt) if best else f"ZA:Z:reason={reason(seq, opt, opt.min_len)}")
+                out.append(za_tag(seq, best, opt) if best else unmapped_tag(seq, opt, opt.min_len))
             yield pa.RecordBatch.from_arrays([batch.column("read_id"), pa.array(found), pa.array(out, pa.string())], names=["read_id", "has_window", "tag"])
 
     return reads.select("read_id", "seq").mapInArrow(run, "read_id long, has_window boolean, tag string")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from seqloom.operators import anchors, mapping, reference_set, sam
+from seqloom.operators import anchored, anchors, mapping, reference_set, sam
 from seqloom.sources import fastx
 
 
@@ -26,6 +27,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--sam")
     c.add_argument("--soft-clip", action="store_true")
     c.add_argument("--no-sam-unmapped", action="store_true")
+    c.add_argument("-a", "--anchors")
+    c.add_argument("--anchor-error", type=int, default=0)
     t = sub.add_parser("cut", help="trim reads to the part between anchors")
     t.add_argument("reads")
     t.add_argument("-a", "--anchors", required=True)
@@ -51,6 +54,15 @@ def main(argv: list[str] | None = None) -> None:
         return
     opt = mapping.Options(a.k, a.seed_mm, a.max_mm, a.exclude_multihit)
     refs = reference_set.build(fastx.fasta(spark, a.refs), a.k, not a.no_rc, a.duplicates)
+    if a.anchors:
+        found = anchored.mapped(reads, refs, anchors.Anchors.parse(a.anchors, max_error=a.anchor_error), opt)
+        fastx.write_counts(mapping.ordered(mapping.counts(found.names, refs)), a.output)
+        if a.sam:
+            rows = sam.mapped(mapping.with_nh(found.alignments), reads, a.soft_clip, F.col("tag")).select("line")
+            if not a.no_sam_unmapped:
+                rows = rows.unionByName(sam.unmapped(reads.join(found.tagged, "read_id"), found.alignments, F.col("tag")).select("line"))
+            fastx.write_sam(sam.header_lines(refs), rows, a.sam)
+        return
     best = mapping.collapsed(mapping.mapped(reads, refs, opt), opt.max_mm)
     names = mapping.hit_names(best, opt.exclude_multihit)
     fastx.write_counts(mapping.ordered(mapping.counts(names, refs)), a.output)

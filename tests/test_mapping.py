@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import dna
-from seqloom.operators import anchors, indels, mapping, reference_set, sam
+from seqloom.operators import anchored, anchors, indels, mapping, reference_set, sam
 
 
 def reads_of(spark, rows):
@@ -137,3 +137,29 @@ def test_cut(spark):
     trimmed = anchors.cut(reads, anchors.Anchors("AGTC", "TCCA", 0, 3, 3))
     assert [(r.read_id, r.seq, r.qual) for r in trimmed.collect()] == [(0, "GAT", "III")]
     assert tuple(anchors.cut_stats(reads, trimmed).first()) == (3, 1, 2, 0)
+
+
+@pytest.mark.parametrize(
+    "opt,seq,want",
+    [
+        (anchors.Anchors("AGTC", "TCCA", 0, 3, 3), "AAAGTCGGGGTCCAA", "ZA:Z:ori=FWD;ins=7,4;exp=3;reason=insert_len_gt;ast=5:pass,3:pass;a5=3-6,ed=0,md=4;a3=11-14,ed=0,md=4"),
+        (anchors.Anchors("AGTC", "TCCA", 0, 3, 3), "AAAGTCGGGGTCGA", "ZA:Z:ori=FWD;partial=1;ast=5:pass,3:fail;a5=3-6,ed=0,md=4;a3f=11-14,len=4,ed=1,md=2C1"),
+        (anchors.Anchors("AGTC", "TCCA", 0, 3, 3), "TGGATTTTTT", "ZA:Z:ori=RC;partial=1;ast=5:fail,3:pass;a3rc=1-4,ed=0,md=4;a5f=3-6,len=4,ed=1,md=2C1"),
+        (anchors.Anchors("AGTC", "TCCA", 0, 3, 3), "CCAGCCGG", "ZA:Z:reason=anchor_not_found;ast=5:fail,3:na;a5f=3-6,len=4,ed=1,md=2T1"),
+        (anchors.Anchors("", "TCCA", 0, 3, 3), "", "ZA:Z:reason=anchor_not_found;ast=5:na,3:fail"),
+    ],
+)
+def test_tags_of_reads_without_a_window(opt, seq, want):
+    assert anchors.extract(seq, opt) is None and anchors.unmapped_tag(seq, opt, 3) == want
+
+
+def test_counting_with_anchors(spark):
+    refs = refs_of(spark, [("a", "AACAGG"), ("b", "GTTTGA")], add_rc=False)
+    find = anchors.Anchors("AGTC", "TCCA")
+    reads = reads_of(spark, ["CAGTCAACAGGTCCAC", "CAGTCAACAGGTCCAGTTTGA", "AACAGGCCCC", "CAGTCCCCCCCTCCA", (None, None)])
+    found = anchored.mapped(reads, refs, find, mapping.Options(4))
+    assert [tuple(r) for r in mapping.ordered(mapping.counts(found.names, refs)).collect()] == [("a", 2), ("b", 1)]
+    lines = [r.line.split("\t") for r in sam.mapped(mapping.with_nh(found.alignments), reads, tag=F.col("tag")).orderBy("read_id").collect()]
+    assert [x[5] for x in lines] == ["5H6M5H", "5H6M10H"] and lines[0][-1] == "ZA:Z:ori=FWD;ins=6,6;ast=5:pass,3:pass;a5=2-5,ed=0,md=4;a3=12-15,ed=0,md=4"
+    with pytest.raises(ValueError):
+        anchored.mapped(reads, refs_of(spark, [("a", "AACAGG"), ("c", "GTTTGAA")]), find, mapping.Options(4))
