@@ -7,9 +7,11 @@ probability equal to the probability Jaccard similarity of the texts; bands of f
 verified by that similarity, computed exactly.
 
 Scale. Equal word sequences fall together first (a hash aggregation with partial sums). In a band's bucket every text is compared
-with the bucket's centre alone, never all pairs; rows are dealt by plain exchanges that adaptive execution may split. Texts that
-stay apart in a bucket are compared with up to CENTRES new ones, others for each band, round after round, until no round links anything.
-Components come from min-label propagation in tables. Nothing of the documents reaches the driver but counts.
+with the bucket's centre alone, never all pairs; rows are dealt by plain exchanges that adaptive execution may split. Texts of
+buckets that stay apart are compared exactly by prefixes: similarity is at most the sum over shingles of the smaller share of the two texts, so
+two similar texts share one of the shingles that make up the rarest fifth of each (in any order that is the same for all texts; it comes from a
+bounded sample, and a sample changes the work, not the result). Every pair that shares such a shingle and is not in one component yet is verified,
+in blocks dealt by salt. So all pairs that share a bucket are compared or are in one class. Components come from min-label propagation in tables. Nothing of the documents reaches the driver but counts.
 
 Defined results: null texts and wordless texts have no shingles: null ones and null doc_ids stay alone, equal wordless texts are copies. The class
 id is the smallest doc_id of the class. An empty table gives no rows. A repeated row is a copy of itself and is returned each time.
@@ -29,8 +31,10 @@ from . import common, tokens
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 4
 #: Ids are broadcast up to this number (about 50 MB in an executor); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: New centres of a bucket in a round, of different components.
-CENTRES = 4
+#: Texts whose shingles give the order of prefixes, and the number of frequent shingles that the order knows.
+ORDER_TEXTS, ORDER_SIZE = 10_000, 200_000
+#: Entries of a shingle that meet in one block of pairs.
+BLOCK = 512
 _MULT = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -170,6 +174,53 @@ def components(links: DataFrame) -> DataFrame:
         edges = small
 
 
+def prefix(elements: np.ndarray, weights: np.ndarray, frequent: np.ndarray, often: np.ndarray, least: float) -> np.ndarray:
+    """The first elements that make up more than 1 - least of the weight, rare ones first; frequent is ascending, often are its counts."""
+    count = np.zeros(len(elements), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, elements), len(frequent) - 1)
+        count = np.where(frequent[at] == elements, often[at], 0)
+    order = np.lexsort((elements, count))
+    w = weights[order]
+    return elements[order[np.cumsum(w) - w <= (1 - least) * w.sum() + 1e-6]]
+
+
+def candidates(apart: DataFrame, texts: DataFrame, n: int, least: float) -> DataFrame:
+    """All pairs (a < b) of the n texts of apart (doc_id, root) that have different roots and share a shingle of their prefixes."""
+    mine = common.stage(texts.join(F.broadcast(apart) if n <= BROADCAST_IDS else apart, "doc_id"), "apart-texts")
+    share = min(common.MAX63, int(ORDER_TEXTS / n * (1 << 63)))
+
+    def each(batches):
+        for batch in batches:
+            sets = [weighted(t)[0] for t in common.texts(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["s"])
+
+    some = mine.where(common.hashed(23, "doc_id") <= share).select("text").mapInArrow(each, "s long")
+    top = some.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(ORDER_SIZE).toArrow()
+    s, c = top.column("s").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    up = np.argsort(s)
+    shared = apart.sparkSession.sparkContext.broadcast((s[up], c[up]))
+
+    def rare(batches):
+        for batch in batches:
+            parts = [prefix(*weighted(t), *shared.value, least) for t in common.texts(batch)]
+            of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            flat = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column("root").take(pa.array(of)), batch.column("doc_id").take(pa.array(of))], names=["s", "root", "doc_id"])
+
+    rows = common.stage(mine.select("doc_id", "root", "text").mapInArrow(rare, "s long, root long, doc_id long"), "prefixes")
+    # an entry holds texts of one root, so that pairs within a component are never made
+    hot = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("s", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    part = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    entries = rows.join(hot, "s").withColumn("part", part).groupBy("s", "root", "part", "blocks").agg(F.collect_list("doc_id").alias("ids"))
+    entries = common.stage(entries.withColumn("block", F.pmod(F.xxhash64("root", "part"), F.col("blocks"))), "entries")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    x = entries.select("s", F.col("block").alias("i"), other.alias("j"), F.col("root").alias("rx"), F.col("ids").alias("x"))
+    y = entries.select("s", other.alias("i"), F.col("block").alias("j"), F.col("root").alias("ry"), F.col("ids").alias("y"))
+    pairs = x.join(y, ["s", "i", "j"]).where("rx < ry").select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def links(keyed: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame | None]:
     """Verified links (a < b) between the texts of keyed (doc_id, key), and their components (None if there is no link)."""
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a")).where("n > 1")
@@ -178,24 +229,21 @@ def links(keyed: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> tuple
     texts = pool(docs, members.select(F.col("b").alias("doc_id")))
     tried = common.stage(members.where("a != b").select("a", "b").distinct(), "pairs")
     found = common.stage(verified(tried, texts, least), "links")
-    forest, step = None, 1
-    while not found.isEmpty():
-        # later rounds add their links to the forest that there is
-        forest = components(found if forest is None else forest.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
-        # buckets whose texts are not in one component yet; a text without a link is its own root
-        roots = common.stage(members.join(forest.withColumnRenamed("node", "b"), "b", "left").select("key", "b", F.coalesce("root", "b").alias("root")), "roots")
-        one = F.struct(F.xxhash64(F.lit(step), "key", "b").alias("h"), "b", "root")
-        slot = F.pmod(F.xxhash64(F.lit(-step), "key", "root"), F.lit(CENTRES))
-        chosen = F.array(*[F.min(F.when(slot == i, one)) for i in range(CENTRES)]).alias("c")
-        mixed = roots.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), chosen).where("r0 != r1")
-        mixed = common.stage(mixed.select("key", F.explode(F.filter("c", lambda x: x.isNotNull())).alias("c")).select("key", F.col("c.b").alias("a"), F.col("c.root").alias("ra")), "mixed")
-        fresh = roots.join(mixed, "key").where("root != ra").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = common.stage(fresh.join(tried, ["a", "b"], "left_anti"), "fresh")
-        more = common.stage(verified(fresh, texts, least), "more")
-        if more.isEmpty():
-            break
-        tried, found, step = tried.union(fresh), found.union(more), step + 1
-    return found, forest
+    forest = None if found.isEmpty() else components(found)
+    # buckets whose texts are not in one component yet; a text without a link is its own root
+    roots = members.select("key", "b", F.col("b").alias("root")) if forest is None else members.join(forest.withColumnRenamed("node", "b"), "b", "left").select("key", "b", F.coalesce("root", "b").alias("root"))
+    roots = common.stage(roots, "roots")
+    mixed = roots.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
+    apart = common.stage(roots.join(mixed, "key", "left_semi").select(F.col("b").alias("doc_id"), "root").distinct(), "apart")
+    n = apart.count()
+    if not n:
+        return found, forest
+    fresh = common.stage(candidates(apart, texts, n, least).join(tried, ["a", "b"], "left_anti"), "fresh")
+    more = common.stage(verified(fresh, texts, least), "more")
+    if more.isEmpty():
+        return found, forest
+    edges = more if forest is None else forest.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)
+    return found.union(more), components(edges)
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -129,6 +129,22 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r.doc_id for r in nd.keep_first(docs).collect()} == {i for i in range(n) if root(i) == i}
 
 
+def test_near_duplicates_compare_every_pair_of_a_bucket(spark):
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = words(77)
+    texts = [" ".join(passage + words(23)) for _ in range(60)]
+    for i in (3, 20, 41):
+        texts.append(" ".join([*texts[i].split()[:-1], "other"]))
+    n = len(texts)
+    want = {(i, j) for j in range(n) for i in range(j) if brute_similarity(texts[i], texts[j]) >= 0.8}
+    assert want == {(3, 60), (20, 61), (41, 62)}
+    keyed = spark.createDataFrame([(i, 7) for i in range(n)], "doc_id long, key long")
+    found, forest = nd.links(keyed, docs_of(spark, texts))
+    assert {tuple(r) for r in found.select("a", "b").collect()} == want
+    assert {(r.root, r.node) for r in forest.collect() if r.root != r.node} == want
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     e, size = rng.integers(1, 2**62, 300).astype(np.uint64), 4096
