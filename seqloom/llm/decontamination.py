@@ -223,31 +223,70 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cove
 
     What a cut joins can hit again, so a text is cut until nothing is hit; each cut shortens it.
     """
-    out = docs
-    for machine in automata(benchmark, window, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(machine)
+    machines = automata(benchmark, window, block_chars)
+    names, machine, more = docs.columns, next(machines), next(machines, None)
+    if more is not None:
+        del machine, more
+        return _remove_by_blocks(docs, benchmark, window, max_coverage, block_chars)
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
 
-        def run(batches, shared=shared):
+    def run(batches):
+        for batch in batches:
+            new, keep = common.texts(batch), []
+            for r, text in enumerate(new):
+                ws = words(text.encode()) if text else []
+                spans, found = shared.value.find(ws)
+                covered = sum(b - a for a, b in spans)
+                keep.append(not covered or covered <= max_coverage * len(ws))
+                while spans and keep[-1]:
+                    text = cut(text, spans)
+                    spans, found = shared.value.find(words(text.encode()))
+                new[r] = text
+            yield _with_texts(batch, new, names).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _with_texts(batch: pa.RecordBatch, new: list, names: list[str]) -> pa.RecordBatch:
+    """The batch with new texts; names: what its columns are called in the documents."""
+    cols = [pa.array(new, f.type) if name == "text" else batch.column(i) for i, (name, f) in enumerate(zip(names, batch.schema))]
+    for i, (name, f) in enumerate(zip(names, batch.schema)):
+        if name == "n_chars":
+            old = batch.column(i).to_pylist()
+            cols[i] = pa.array([len(t) if t is not None else o for t, o in zip(new, old)], f.type)
+    return pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+
+
+def _remove_by_blocks(docs: DataFrame, benchmark: DataFrame, window: int, max_coverage: float, block_chars: int) -> DataFrame:
+    """As with one block: every pass takes the spans of all blocks on one text, and a cut text is passed again until no block hits."""
+    names = docs.columns
+    # own names, as find() adds columns
+    inner = ["text" if c == "text" else f"c{i}" for i, c in enumerate(names)]
+    left, done = docs.toDF(*inner), None
+    kind, judged = left.schema, False
+    while True:
+        found = common.stage(find(left, benchmark, window, inner, block_chars), "found")
+        clean = found.where(F.size("spans") == 0).select(*inner)
+        done = clean if done is None else done.union(clean)
+        hit = found.where(F.size("spans") > 0)
+        if not judged:
+            covered = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["b"] - s["a"]))
+            hit, judged = hit.where(covered <= F.lit(float(max_coverage)) * F.col("n_words")), True
+        if hit.isEmpty():
+            break
+
+        def run(batches):
             for batch in batches:
-                new, keep = common.texts(batch), []
-                for r, text in enumerate(new):
-                    ws = words(text.encode()) if text else []
-                    spans, found = shared.value.find(ws)
-                    covered = sum(b - a for a, b in spans)
-                    keep.append(not covered or covered <= max_coverage * len(ws))
-                    while spans and keep[-1]:
-                        text = cut(text, spans)
-                        spans, found = shared.value.find(words(text.encode()))
-                    new[r] = text
-                cols = [pa.array(new, f.type) if f.name == "text" else batch.column(i) for i, f in enumerate(batch.schema)]
-                for i, f in enumerate(batch.schema):
-                    if f.name == "n_chars":
-                        old = batch.column(i).to_pylist()
-                        cols[i] = pa.array([len(t) if t is not None else o for t, o in zip(new, old)], f.type)
-                yield pa.RecordBatch.from_arrays(cols, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
-
-        out = (out if out is docs else common.stage(out, "cut")).mapInArrow(run, docs.schema)
-    return out
+                new = [cut(t, [(s["a"], s["b"]) for s in spans]) for t, spans in zip(common.texts(batch), batch.column("spans").to_pylist())]
+                yield _with_texts(batch.select(inner), new, inner)
+
+        left = common.stage(hit.select(*inner, "spans").mapInArrow(run, kind), "cut")
+
+    def counted(batches):
+        for batch in batches:
+            yield _with_texts(batch, common.texts(batch), names)
+
+    return done.mapInArrow(counted, kind).toDF(*names)
 
 
 def items_sha256(items: set) -> str:

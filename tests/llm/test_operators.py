@@ -91,6 +91,20 @@ def test_decontamination_against_brute_force(spark, block_chars):
     assert all(not brute_hits(r.text, items)[1] for r in left.collect()) and left.count() == len(texts)
 
 
+def test_decontamination_removes_alike_with_any_blocks(spark):
+    rng = random.Random(6)
+    words = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    items = [words(12) for _ in range(8)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    texts = [" ".join(words(2) + items[i] + words(1) + items[j] + words(9)) for i in range(8) for j in range(8) if i != j]
+    # cutting one item joins the halves of another
+    texts += [" ".join(words(90) + items[i][:6] + items[j] + items[i][6:]) for i in range(8) for j in range(8) if i != j]
+    texts += [" ".join(words(30) + items[0]), None, ""]
+    whole, parts = ({r.doc_id: (r.text, r.n_chars, r.root) for r in dec.remove(docs_of(spark, texts), bench, block_chars=c).collect()} for c in (10**6, 200))
+    assert whole == parts and 0 < len(whole) < len(texts)
+    assert not any(brute_hits(t, [(i, " ".join(w)) for i, w in enumerate(items)])[1] for t, _, _ in parts.values())
+
+
 def brute_similarity(a, b):
     from collections import Counter
 
