@@ -267,10 +267,29 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
 
 
 def keep_first(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The documents without those that have a smaller doc_id in their class; of rows with one doc_id one stays."""
+    """The documents without those that have a smaller doc_id in their class; of rows with one doc_id and the same words one stays.
+
+    Rows with a null doc_id all stay; different texts of one doc_id are documents of their own.
+    """
+    again = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
+    if not again.isEmpty():
+        return _keep_first_rows(docs, least)
     drop = common.stage(classes(docs, least).where("class_id != doc_id").select("doc_id").distinct(), "drop")
     if drop.count() <= BROADCAST_IDS:
         drop = F.broadcast(drop)
-    left = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
-    again = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
-    return left if again.isEmpty() else left.dropDuplicates(["doc_id"])
+    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+
+
+def _keep_first_rows(docs: DataFrame, least: float) -> DataFrame:
+    """As keep_first, where doc_ids repeat: rows get numbers of their own, and of each class the row with the smallest doc_id stays."""
+    rows = common.stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    some = rows.where(F.col("doc_id").isNotNull())
+    kind = classes(some.select(F.col("_row").alias("doc_id"), "text"), least).select(F.col("doc_id").alias("_row"), "class_id")
+    # null texts are alike only with one doc_id
+    own = F.when(F.col("text").isNull(), F.struct(F.lit(-1).cast("long").alias("c"), F.col("doc_id").cast("long").alias("d"))).otherwise(F.struct(F.col("class_id").alias("c"), F.lit(0).cast("long").alias("d")))
+    known = common.stage(some.join(kind, "_row").select("_row", "doc_id", own.alias("own")), "known")
+    first = known.groupBy("own").agg(F.min(F.struct("doc_id", "_row")).alias("f")).select(F.col("f._row").alias("_row"))
+    drop = common.stage(known.select("_row").join(first, "_row", "left_anti"), "drop")
+    if drop.count() <= BROADCAST_IDS:
+        drop = F.broadcast(drop)
+    return rows.join(drop, "_row", "left_anti").select(*docs.columns)

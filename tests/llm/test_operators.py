@@ -143,6 +143,17 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r.doc_id for r in nd.keep_first(docs).collect()} == {i for i in range(n) if root(i) == i}
 
 
+def test_keep_first_keeps_clean_rows(spark):
+    rng = random.Random(10)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    rows = [(None, a), (None, a), (None, b), (5, a), (5, c), (5, c), (2, a), (7, None), (7, None), (8, d), (9, e), (1, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x", "y", "z") for i, t in rows], DOCS).repartition(3)
+    got = nd.keep_first(docs)
+    assert got.columns == docs.columns
+    want = [(None, a), (None, a), (None, b), (2, a), (7, None), (8, d), (9, e), (1, c)]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.text)) for r in got.collect())
+
+
 def test_near_duplicates_compare_every_pair_of_a_bucket(spark):
     rng = random.Random(8)
     words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
