@@ -5,7 +5,8 @@ runs of digits, single signs) with O, B- and I- tags of the four kinds; its feat
 shapes, pairs of them, and whether space stands before it. It is trained by gradient ascent on the likelihood of a small
 labelled table (LABELLED, made by a rule from templates) and decoded by Viterbi, many sequences of a batch at once in numpy.
 
-A span of any kind needs a digit or an at sign; sequences are the tokens within CONTEXT tokens of one, so whole texts are read but
+A span of any kind needs a digit or an at sign; sequences are the tokens within CONTEXT tokens of one
+and the whole of an address around an at sign, so whole texts are read but
 only such places are decoded. A decoded span counts if it has the parts of its kind (see valid) and meets no base span.
 
 Defined results: a null text is empty and has no spans; spans are in code points, ends exclusive; repeated rows are treated alike.
@@ -17,6 +18,7 @@ import functools
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from itertools import repeat
 
 import numpy as np
@@ -39,6 +41,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
+HOST = re.compile(r"\s?[A-Za-z0-9-]++(?:\s?\.\s?[A-Za-z0-9-]++)*+")
+SPACE = re.compile(" ")
 
 
 def luhn(digits: str) -> bool:
@@ -269,30 +273,43 @@ def field() -> Field:
     return Field(labelled())
 
 
+def reach(text: str, at: int) -> tuple[int, int]:
+    """Where an address with that at sign can begin and end, space beside its signs included."""
+    start = at - (at > 0 and text[at - 1].isspace())
+    while start and text[start - 1] in LOCAL:
+        start -= 1
+    m = HOST.match(text, at + 1)
+    return start, m.end() if m else at + 1
+
+
 def windows(text: str) -> list[list[re.Match]]:
     """Sequences of tokens around digits and at signs."""
     if not ANCHOR.search(text):
         return []
     # cut the text near anchors first, so that long texts aren't tokenised whole: CONTEXT tokens lie between two spaces each at most
     out, spans = [], []
+    spaces = [m.start() for m in SPACE.finditer(text)]
     for m in ANCHOR.finditer(text):
-        if spans and m.start() < spans[-1][1]:
-            continue
-        a, b = m.start(), m.end()
-        for _ in range(CONTEXT + 1):
-            a = max(text.rfind(" ", 0, a), 0)
-            b = (text.find(" ", b) + 1) or len(text)
-        if spans and a <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], b)
-        else:
-            spans.append((a, b))
+        first, last = reach(text, m.start()) if m[0] == "@" else m.span()
+        k = bisect_left(spaces, last) + 1
+        k = max(k, bisect_left(spaces, m.end()) + CONTEXT)
+        b = spaces[k] + 1 if k < len(spaces) else len(text)
+        k = min(bisect_left(spaces, m.start()) - CONTEXT - 1, bisect_left(spaces, first) - 2)
+        a = spaces[k] if k >= 0 else 0
+        while spans and a <= spans[-1][1]:
+            s, e = spans.pop()
+            a, b = min(a, s), max(b, e)
+        spans.append((a, b))
     for a, b in spans:
         tokens = list(TOKEN.finditer(text, a, b))
+        starts = [m.start() for m in tokens]
         near = np.zeros(len(tokens) + 1, np.int64)
         for i, m in enumerate(tokens):
             if ANCHOR.match(m[0]):
-                near[max(0, i - CONTEXT)] += 1
-                near[min(len(tokens), i + CONTEXT + 1)] -= 1
+                first, last = reach(text, m.start()) if m[0] == "@" else m.span()
+                # a whole address and the tokens beside it
+                near[max(0, min(i - CONTEXT, bisect_left(starts, first) - 1))] += 1
+                near[min(len(tokens), max(i + CONTEXT, bisect_left(starts, last)) + 1)] -= 1
         run: list = []
         for m, n in zip(tokens, near.cumsum()):
             if n:

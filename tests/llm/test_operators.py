@@ -300,6 +300,19 @@ def test_field_finds_what_the_patterns_miss():
     assert pii.masked("mail a.b@c.example.com, ip 1.2.3.4", own, added) == "mail <EMAIL>, ip <IP>"
 
 
+def test_windows_hold_whole_addresses():
+    for text, address in [
+        ("12 w w w w name @ host.example.com", "name @ host.example.com"), ("write to name @ mail.cs.uni.edu today", "name @ mail.cs.uni.edu"),
+        ("write to a.b-c.d_e.f @ host.example.com today", "a.b-c.d_e.f @ host.example.com"), ("7 a b c d e 8 f g h i j k l name @ x.y.z.example.org", "name @ x.y.z.example.org"),
+    ]:
+        a = text.index(address)
+        held = [w for w in pii.windows(text) if w[0].start() <= a and a + len(address) <= w[-1].end()]
+        assert len(held) == 1, text
+    text = "12 w w w w name @ host.example.com"
+    own, added = pii.find([text], pii.field())[0]
+    assert [(k, text[a:b]) for k, a, b in added] == [(0, "name @ host.example.com")]
+
+
 @pytest.mark.parametrize(
     "html,text",
     [
