@@ -1,7 +1,8 @@
 """Registered queries of the mapping engine over the driver's tables, and their oracle SQL.
 
 The tables have no sequences, so letters stand for bases: reads are the texts of documents with each letter as the base of its place in
-the alphabet modulo 4, odd ones turned round; references are 20-mers of benchmark texts. All rows and whole texts are used.
+the alphabet modulo 4, odd ones turned round; references are 20-mers of benchmark texts at four
+offsets (OFFSETS), as in the oracle SQL: letters after the 140th and between the four have no reference. All rows and whole reads are used.
 """
 
 from __future__ import annotations
