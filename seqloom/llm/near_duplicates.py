@@ -6,15 +6,20 @@ shingle with the earliest arrival, and a process ends when its time passes the l
 probability equal to the probability Jaccard similarity of the texts; bands of four components make candidates; candidates are
 verified by that similarity, computed exactly.
 
-Scale. Equal word sequences fall together first (a hash aggregation with partial sums). In a band's bucket every text is compared
-with the bucket's centre alone, never all pairs; rows are dealt by plain exchanges that adaptive execution may split. Texts of
-buckets that stay apart are compared exactly by prefixes: similarity is at most the sum over shingles of the smaller share of the two texts, so
-two similar texts share one of the shingles that make up the rarest fifth of each (in any order that is the same for all texts; it comes from a
-bounded sample, and a sample changes the work, not the result). Every pair that shares such a shingle and is not in one component yet is verified,
-in blocks dealt by salt. So all pairs that share a bucket are compared or are in one class. Components come from min-label propagation in tables. Nothing of the documents reaches the driver but counts.
+Scale. Equal word sequences fall together first (a hash aggregation with partial sums). In a band's bucket a text that shares TRIED buckets
+with the bucket's centre is compared with it; this settles most, and only saves work. Texts of buckets that are not one component then
+are compared exactly. Let X be the share of x on shingles that y lacks, Y that of y on shingles that x lacks; the similarity is at most
+(1 - X)(1 - Y) / (1 - XY). So similar texts have a first common shingle, rare ones first, with little weight before it in both (in any order
+that is the same for all texts; it comes from a bounded sample, and a sample changes the work, not the result). The texts that can be similar by
+that bound are joined into groups, a star for each shingle; groups are dealt into pairs of blocks of about BLOCK_CHARS characters, and a task
+compares two blocks by matrix products of shares and supports: no pair is made a row but verified links. So all pairs that share a bucket are
+compared or are in one class. A group's work grows with the square of its blocks, where texts are that alike and still not of one class.
+Components come from min-label propagation in tables. Nothing of the documents reaches the driver but counts.
 
 Defined results: null texts and wordless texts have no shingles: null ones and null doc_ids stay alone, equal wordless texts are copies. The class
-id is the smallest doc_id of the class. An empty table gives no rows. A repeated row is a copy of itself and is returned each time.
+id is the smallest doc_id of the class. An empty table gives no rows. A repeated row is a copy of itself and is returned each time. Rows with one
+doc_id and different texts are compared as rows of their own. Very long texts are taken whole, a block each. Other columns, whatever their names, are not looked at
+by classes() and pass through keep_first().
 """
 
 from __future__ import annotations
@@ -33,8 +38,8 @@ WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 4
 BROADCAST_IDS = 1_000_000
 #: Texts whose shingles give the order of prefixes, and the number of frequent shingles that the order knows.
 ORDER_TEXTS, ORDER_SIZE = 10_000, 200_000
-#: Entries of a shingle that meet in one block of pairs.
-BLOCK = 512
+#: Buckets that a text shares with a centre to be compared with it; characters of a block of texts; columns of a matrix product.
+TRIED, BLOCK_CHARS, COLUMNS = 3, 256_000, 1024
 _MULT = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -135,7 +140,7 @@ def pool(docs: DataFrame, ids: DataFrame) -> DataFrame:
     wanted = common.stage(ids.distinct(), "ids")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    return common.stage(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "pool").dropDuplicates(["doc_id"])
+    return common.stage(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "pool")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -161,7 +166,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         # large-star: larger neighbours of u go to the smallest of u and its neighbours
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = common.stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")  # a table, so that a hot u can be split
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         # small-star: u and its smaller neighbours go to the smallest of them (edges are a < b, so u is b)
         low = large.groupBy("b").agg(F.min("a").alias("m"))
@@ -174,19 +179,21 @@ def components(links: DataFrame) -> DataFrame:
         edges = small
 
 
-def prefix(elements: np.ndarray, weights: np.ndarray, frequent: np.ndarray, often: np.ndarray, least: float) -> np.ndarray:
-    """The first elements that make up more than 1 - least of the weight, rare ones first; frequent is ascending, often are its counts."""
+def prefix(elements: np.ndarray, weights: np.ndarray, frequent: np.ndarray, often: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Elements with at most 1 - least of the weight before them, rare ones first, and that weight; frequent is ascending, often are its counts."""
     count = np.zeros(len(elements), np.int64)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, elements), len(frequent) - 1)
         count = np.where(frequent[at] == elements, often[at], 0)
     order = np.lexsort((elements, count))
     w = weights[order]
-    return elements[order[np.cumsum(w) - w <= (1 - least) * w.sum() + 1e-6]]
+    before = (np.cumsum(w) - w) / w.sum()
+    keep = before <= 1 - least + 1e-9
+    return elements[order[keep]], before[keep]
 
 
-def candidates(apart: DataFrame, texts: DataFrame, n: int, least: float) -> DataFrame:
-    """All pairs (a < b) of the n texts of apart (doc_id, root) that have different roots and share a shingle of their prefixes."""
+def neighbours(apart: DataFrame, texts: DataFrame, n: int, least: float) -> DataFrame | None:
+    """node, root: groups of the n texts of apart (doc_id, root) outside of which no text is similar to one of them; None if there are none."""
     mine = common.stage(texts.join(F.broadcast(apart) if n <= BROADCAST_IDS else apart, "doc_id"), "apart-texts")
     share = min(common.MAX63, int(ORDER_TEXTS / n * (1 << 63)))
 
@@ -204,54 +211,149 @@ def candidates(apart: DataFrame, texts: DataFrame, n: int, least: float) -> Data
     def rare(batches):
         for batch in batches:
             parts = [prefix(*weighted(t), *shared.value, least) for t in common.texts(batch)]
-            of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            flat = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column("root").take(pa.array(of)), batch.column("doc_id").take(pa.array(of))], names=["s", "root", "doc_id"])
-
-    rows = common.stage(mine.select("doc_id", "root", "text").mapInArrow(rare, "s long, root long, doc_id long"), "prefixes")
-    # an entry holds texts of one root, so that pairs within a component are never made
-    hot = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("s", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    part = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    entries = rows.join(hot, "s").withColumn("part", part).groupBy("s", "root", "part", "blocks").agg(F.collect_list("doc_id").alias("ids"))
-    entries = common.stage(entries.withColumn("block", F.pmod(F.xxhash64("root", "part"), F.col("blocks"))), "entries")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    x = entries.select("s", F.col("block").alias("i"), other.alias("j"), F.col("root").alias("rx"), F.col("ids").alias("x"))
-    y = entries.select("s", other.alias("i"), F.col("block").alias("j"), F.col("root").alias("ry"), F.col("ids").alias("y"))
-    pairs = x.join(y, ["s", "i", "j"]).where("rx < ry").select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            of = pa.array(np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]))
+            flat, before = (np.concatenate([np.zeros(0, kind), *(p[i] for p in parts)]) for i, kind in enumerate((np.uint64, float)))
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), batch.column("root").take(of), batch.column("doc_id").take(of), pa.array(before)], names=["s", "root", "doc_id", "before"])
+
+    rows = common.stage(mine.select("doc_id", "root", "text").mapInArrow(rare, "s long, root long, doc_id long, before double"), "prefixes")
+    # the text with the least before a shingle is a partner of every text there that has one
+    first = rows.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct("before", "doc_id")).alias("f")).where("r0 != r1")
+    first = common.stage(first.select("s", F.col("f.before").alias("b0"), F.col("f.doc_id").alias("d0")), "firsts")
+    x, y = F.col("before"), F.col("b0")
+    near = rows.join(first, "s").where((F.col("doc_id") != F.col("d0")) & ((1 - x) * (1 - y) >= least * (1 - x * y) - 1e-9))
+    edges = common.stage(near.select(F.least("doc_id", "d0").alias("a"), F.greatest("doc_id", "d0").alias("b")).distinct(), "near")
+    if edges.isEmpty():
+        return None
+    groups = components(edges)
+    return groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+
+
+def compare(sets: list, roots: list[int], left: np.ndarray, right: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Verified links (places in sets) of left texts to right ones that join different roots; what links so far have joined is not tried again."""
+    element, weight = np.concatenate([s[0] for s in sets]), np.concatenate([s[1] / s[1].sum() for s in sets])
+    owner = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
+    _, column, count = np.unique(element, return_inverse=True, return_counts=True)
+    again = count[column] > 1  # a shingle of one text alone is in no product
+    column, weight, owner = np.unique(column[again], return_inverse=True)[1], weight[again], owner[again]
+    order = np.argsort(column, kind="stable")
+    column, weight, owner = column[order], weight[order], owner[order]
+    x, y = np.zeros((len(left), len(right)), np.float32), np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (at, at + COLUMNS))
+        share = np.zeros((len(sets), COLUMNS), np.float32)
+        share[owner[a:b], column[a:b] - at] = weight[a:b]
+        has = (share > 0).astype(np.float32)
+        x += share[left] @ has[right].T  # share of the left text on what the right one has too
+        y += has[left] @ share[right].T
+    with np.errstate(invalid="ignore", divide="ignore"):
+        bound = np.where(x * y > 0, x * y / (x + y - x * y), 0)
+    i, j = np.nonzero(bound >= least - 1e-4)
+    order = np.argsort(-bound[i, j], kind="stable")
+    parent = {r: r for r in roots}
+
+    def top(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
+    out = []
+    for p, q in zip(left[i[order]].tolist(), right[j[order]].tolist()):
+        a, b = top(roots[p]), top(roots[q])
+        if a != b and similarity(sets[p], sets[q]) >= least:
+            parent[a] = b
+            out.append((p, q))
+    return out
+
+
+def within(groups: DataFrame, apart: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a < b) that join all texts of a group (node, root) that are similar and not of one root in apart (doc_id, root) yet."""
+    own = texts.join(groups.select(F.col("node").alias("doc_id"), F.col("root").alias("g")), "doc_id").join(apart, "doc_id")
+    own = common.stage(own.select("doc_id", "text", "root", "g"), "grouped")
+    blocks = common.stage(own.groupBy("g").agg(F.ceil(F.sum(F.length("text")) / BLOCK_CHARS).alias("blocks")), "blocks")
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    dealt = own.join(blocks, "g").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "root", "text")
+
+    def run(batches):
+        key, rows = None, []
+
+        def flush():
+            sets = [weighted(r[3]) for r in rows]
+            i, j = key[1:]
+            block = np.array([r[0] for r in rows])
+            found = compare(sets, [r[2] for r in rows], np.flatnonzero(block == i), np.flatnonzero(block == j), least)
+            ends = [sorted((rows[p][1], rows[q][1])) for p, q in found]
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("g", "i", "j", "block", "doc_id", "root")]
+            for g, i, j, b, doc_id, root, text in zip(*cols, common.texts(batch)):
+                if (g, i, j) != key:
+                    if rows:
+                        yield flush()
+                    key, rows = (g, i, j), []
+                rows.append((b, doc_id, root, text))
+        if rows:
+            yield flush()
+
+    return dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
 def links(keyed: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame | None]:
-    """Verified links (a < b) between the texts of keyed (doc_id, key), and their components (None if there is no link)."""
+    """Verified links (a < b) that join the similar texts of keyed (doc_id, key; ids not repeated), and their components (None without a link)."""
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a")).where("n > 1")
     centres = common.stage(shared.select("key", "a"), "centres")
     members = common.stage(keyed.join(centres, "key").select("key", F.col("doc_id").alias("b"), "a"), "members")
     texts = pool(docs, members.select(F.col("b").alias("doc_id")))
-    tried = common.stage(members.where("a != b").select("a", "b").distinct(), "pairs")
-    found = common.stage(verified(tried, texts, least), "links")
+    tried = members.where("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= TRIED)
+    found = common.stage(verified(common.stage(tried.select("a", "b"), "pairs"), texts, least), "links")
     forest = None if found.isEmpty() else components(found)
     # buckets whose texts are not in one component yet; a text without a link is its own root
     roots = members.select("key", "b", F.col("b").alias("root")) if forest is None else members.join(forest.withColumnRenamed("node", "b"), "b", "left").select("key", "b", F.coalesce("root", "b").alias("root"))
     roots = common.stage(roots, "roots")
-    mixed = roots.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
+    mixed = common.stage(roots.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key"), "mixed")
     apart = common.stage(roots.join(mixed, "key", "left_semi").select(F.col("b").alias("doc_id"), "root").distinct(), "apart")
     n = apart.count()
-    if not n:
+    groups = neighbours(apart, texts, n, least) if n else None
+    if groups is None:
         return found, forest
-    fresh = common.stage(candidates(apart, texts, n, least).join(tried, ["a", "b"], "left_anti"), "fresh")
-    more = common.stage(verified(fresh, texts, least), "more")
+    more = common.stage(within(groups, apart, texts, least), "more")
     if more.isEmpty():
         return found, forest
     edges = more if forest is None else forest.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)
     return found.union(more), components(edges)
 
 
+def repeated(docs: DataFrame) -> bool:
+    """Some doc_id occurs twice."""
+    return not docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number of their own in _row."""
+    return common.stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id, rep (the smallest doc_id with the same words) and n_links of every document.
 
-    n_links: verified links of the document's representative to texts with other words.
+    n_links: links verified between the document's representative and texts with other words. They join the class; pairs that others
+    have joined already are not tried, so it's no count of all similar texts.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not repeated(docs):
+        return _classes(docs, least, bands, rows)
+    rows_ = numbered(docs)
+    kind = common.stage(_classes(rows_.where(F.col("doc_id").isNotNull()).select(F.col("_row").alias("doc_id"), "text"), least, bands, rows).withColumnRenamed("doc_id", "_row"), "row-classes")
+    known = rows_.join(kind, "_row", "left").select("_row", "doc_id", "class_id", "rep", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    known = common.stage(known, "known")
+    of = lambda c: known.where(F.col(c).isNotNull()).groupBy(F.col(c).alias(c)).agg(F.min("doc_id").alias(f"{c}_doc"))
+    out = known.join(common.stage(of("class_id"), "class-ids"), "class_id", "left").join(common.stage(of("rep"), "rep-ids"), "rep", "left")
+    return out.select("doc_id", F.col("class_id_doc").alias("class_id"), F.col("rep_doc").alias("rep"), "n_links")
+
+
+def _classes(docs: DataFrame, least: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """As classes, of doc_ids that are not repeated."""
     sig = common.stage(signed(docs, bands, rows), "signatures")
     first = common.stage(sig.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "first")
     member = sig.select("doc_id", "k1", "k2").join(first, ["k1", "k2"]).select("doc_id", "rep")
@@ -271,10 +373,9 @@ def keep_first(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     Rows with a null doc_id all stay; different texts of one doc_id are documents of their own.
     """
-    again = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
-    if not again.isEmpty():
+    if repeated(docs):
         return _keep_first_rows(docs, least)
-    drop = common.stage(classes(docs, least).where("class_id != doc_id").select("doc_id").distinct(), "drop")
+    drop = common.stage(_classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least).where("class_id != doc_id").select("doc_id").distinct(), "drop")
     if drop.count() <= BROADCAST_IDS:
         drop = F.broadcast(drop)
     return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
@@ -282,9 +383,9 @@ def keep_first(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def _keep_first_rows(docs: DataFrame, least: float) -> DataFrame:
     """As keep_first, where doc_ids repeat: rows get numbers of their own, and of each class the row with the smallest doc_id stays."""
-    rows = common.stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    rows = numbered(docs)
     some = rows.where(F.col("doc_id").isNotNull())
-    kind = classes(some.select(F.col("_row").alias("doc_id"), "text"), least).select(F.col("doc_id").alias("_row"), "class_id")
+    kind = _classes(some.select(F.col("_row").alias("doc_id"), "text"), least).select(F.col("doc_id").alias("_row"), "class_id")
     # null texts are alike only with one doc_id
     own = F.when(F.col("text").isNull(), F.struct(F.lit(-1).cast("long").alias("c"), F.col("doc_id").cast("long").alias("d"))).otherwise(F.struct(F.col("class_id").alias("c"), F.lit(0).cast("long").alias("d")))
     known = common.stage(some.join(kind, "_row").select("_row", "doc_id", own.alias("own")), "known")
