@@ -4,8 +4,9 @@ A byte-level BPE pre-tokeniser always starts a new pre-token at a single space b
 between two such a pre-token of its own, and one of a point or comma that follows a letter and precedes white space or the end. So a
 text may be cut there, each different piece encoded once, and the ids joined: the ids equal those of the whole text. Texts of a block are
 laid end to end; pieces are found, hashed (64 bits) and numbered with numpy, and only pieces that the cache lacks become strings. These
-are encoded in one call, a line each: the line end's id marks where a piece's ids end. The cache is bounded and lives as long as the worker. A text with a piece that is empty or starts or ends with white space (where the rule doesn't hold)
-is encoded whole.
+are encoded in one call, a line each: the line end's id marks where a piece's ids end. A hash only finds a piece: the cache keeps each
+piece's bytes, and every piece of a text is compared with them. The cache is bounded and lives as long as the worker. A text is encoded
+whole if a piece of it is empty or starts or ends with white space (where the rule doesn't hold), or if another piece has its hash.
 """
 
 from __future__ import annotations
@@ -47,6 +48,31 @@ class Encoder:
         self.known: dict[int, int] = {}
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)  # size -1: unsafe
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+        # of each slot: kind, place and number of its piece's bytes
+        self.kind, self.at, self.length = np.zeros(1 << 16, np.int8), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.bytes, self.held = np.zeros(1 << 20, np.uint8), 0
+
+    def _keep(self, slots: np.ndarray, kinds: np.ndarray, pieces: list[bytes]) -> None:
+        """The pieces of new slots."""
+        data, n = np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        while len(self.kind) < len(self.size):
+            self.kind, self.at, self.length = (np.resize(x, 2 * len(x)) for x in (self.kind, self.at, self.length))
+        while self.held + len(data) > len(self.bytes):
+            self.bytes = np.resize(self.bytes, 2 * len(self.bytes))
+        self.bytes[self.held : self.held + len(data)] = data
+        self.kind[slots], self.at[slots], self.length[slots] = kinds, self.held + np.cumsum(n) - n, n
+        self.held += len(data)
+
+    def _others(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Marks the pieces that aren't the one of their slot."""
+        n = end - start
+        bad = (self.kind[slot] != kind) | (self.length[slot] != n)
+        n = np.where(bad, 0, n)
+        ends = np.cumsum(n)
+        place = np.arange(int(ends[-1]))
+        wrong = np.flatnonzero(data[np.repeat(start - (ends - n), n) + place] != self.bytes[np.repeat(self.at[slot] - (ends - n), n) + place])
+        bad[np.searchsorted(ends, wrong, "right")] = True
+        return bad
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -124,13 +150,16 @@ class Encoder:
         if None in slots:
             miss = [i for i, s in enumerate(slots) if s is None]
             where = at[miss]
-            self._fill([keys[i] for i in miss], [joined[a:b].decode() for a, b in zip(start[where].tolist(), end[where].tolist())], kind[where].tolist())
+            pieces = [joined[a:b] for a, b in zip(start[where].tolist(), end[where].tolist())]
+            self._fill([keys[i] for i in miss], [p.decode() for p in pieces], kind[where].tolist())
             slots = list(map(self.known.__getitem__, keys))
+            self._keep(np.array([slots[i] for i in miss]), kind[where], pieces)
         slot = np.array(slots, np.int64)[back]
         size = self.size[slot].astype(np.int64)
         owner = np.searchsorted(first, np.arange(len(start)), "right") - 1
-        if (size < 0).any():
-            return self._mixed(texts, np.unique(owner[size < 0]))
+        unsafe = (size < 0) | self._others(data, start, end, kind, slot)
+        if unsafe.any():
+            return self._mixed(texts, np.unique(owner[unsafe]))
         whole = size + marked
         ends = np.cumsum(whole)
         at = np.repeat(self.start[slot] - (ends - whole), whole) + np.arange(int(ends[-1]))

@@ -187,6 +187,30 @@ def test_pieces_give_the_ids_of_whole_texts():
         assert ids.tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[i.bit_count() % 2] for i in range(n))
+
+
+def test_ids_do_not_rest_on_hashes(monkeypatch):
+    from seqloom.llm import common
+
+    enc = tokens.Encoder()
+    one, two = thue_morse(2048), thue_morse(2048, "b", "a")
+    spans = [np.array([0]), np.array([2048])]
+    assert common.span_hashes(np.frombuffer(one.encode(), np.uint8), *spans) == common.span_hashes(np.frombuffer(two.encode(), np.uint8), *spans)
+    same = "x"
+    texts = [f"{same} {one} y", f"{same} {two} y", f"{two} {one} {two}", two, f"y {one}\n{two}"]
+    for group in (texts, texts[::-1], texts[1:2], texts[:1]):  # in one block, and against the cache
+        for t, ids in zip(group, enc.encode(group)):
+            assert ids.tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+    # even if all pieces have one of three hashes
+    monkeypatch.setattr(common, "span_hashes", lambda data, start, end: (end - start).astype(np.uint64) % np.uint64(3))
+    rng, enc = random.Random(12), tokens.Encoder()
+    texts = [prose(rng, 30) for _ in range(20)]
+    for t, ids in zip(texts, enc.encode(texts)):
+        assert ids.tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_coding_round_trip():
     rng = np.random.default_rng(2)
     parts = [rng.integers(0, 2 ** rng.integers(1, 32), n).astype(np.uint32) for n in (0, 1, 3, 4, 5, 1000)]
