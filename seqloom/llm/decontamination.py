@@ -5,17 +5,21 @@ accepts every run of words of every item. Document words are streamed through it
 tracked; where it reaches the window, the window is hit, and the state tells which items hold it. An item shorter than
 the window counts as one window of its own length.
 
-Items of more than BLOCK_CHARS characters in all are taken in blocks, one automaton after another, so that what goes to
-the executors is bounded whatever the benchmark's size.
+The automaton is kept in flat arrays (about 40 bytes a state). Items of more than BLOCK_CHARS characters in all are taken in blocks, one
+automaton each, which are broadcast. A task takes a group of texts through all blocks, holding one automaton at a time if there are several,
+so memory is bounded whatever the benchmark's size, the texts are read once, and spans, coverage and cuts are of all items together.
 
-Defined results: null or wordless texts have no words and no hits; items without words never match; repeated documents
-are treated alike; repeated items each count. Very long texts are taken whole. Extra columns pass through remove().
+Defined results: null or wordless texts have no words and no hits; items without words never match; without items nothing is hit; repeated
+documents are treated alike; repeated items each count; null ids of items count as an item `None`. Very long texts are taken whole. Extra
+columns, whatever their names, pass through remove(). An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_left
 from itertools import repeat
 
 import numpy as np
@@ -26,7 +30,9 @@ from pyspark.sql.types import _parse_datatype_string as schema
 
 from . import common
 
-WINDOW, BLOCK_CHARS, MAX_COVERAGE = 10, 8_000_000, 0.5
+WINDOW, BLOCK_CHARS, MAX_COVERAGE = 10, 4_000_000, 0.5
+#: Bytes of texts that go through several blocks together.
+GROUP_BYTES = 32_000_000
 WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 
 
@@ -35,73 +41,104 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton of several word sequences, with the items of each window."""
+    """Suffix automaton of several word sequences, with the items of each window.
+
+    Arrays by state: link, length, word and target of its first transition (the root's are in root, by word), at (the state of the last
+    `window` words) and above (the nearest state on the way to the root that ends a short item). Further transitions are in keys
+    (state << 32 | word, ascending) and targets; the items of windows in owners, from places[k] on for the state held[k].
+    """
+
+    VIEWS = ("link", "length", "word", "target", "root", "at", "above", "keys", "targets", "held", "places", "owners")
 
     def __init__(self, items: list[tuple[object, list[bytes]]], window: int = WINDOW):
-        self.window, self.vocab = window, {}
-        self.next, self.link, self.length = [{}], [-1], [0]
-        ends: list[tuple[object, list[int]]] = []
-        for item, ws in items:
-            if ws:
-                last, path = 0, []
-                for w in ws:
-                    last = self._extend(last, self.vocab.setdefault(w, len(self.vocab)))
-                ids = [self.vocab[w] for w in ws]
-                ends.append((item, ids))
-        n = len(self.next)
-        of: list[set] = [set() for _ in range(n)]
-        short: list[list] = [[] for _ in range(n)]
-        seen = [-1] * n
-        for k, (item, ids) in enumerate(ends):
-            v = 0
-            for c in ids:
-                v = u = self.next[v][c]
-                while u and seen[u] != k:
-                    seen[u] = k
-                    of[u].add(item)
-                    u = self.link[u]
-            if len(ids) < window:
-                short[v].append(item)
-        order = sorted(range(1, n), key=self.length.__getitem__)
-        self.at = [0] * n  # the state of the last `window` words
-        self.above = [0] * n  # the nearest state above that ends a short item
-        for v in order:
-            u = self.link[v]
-            self.at[v] = v if self.length[u] < window else self.at[u]
-            self.above[v] = u if short[u] else self.above[u]
-        self.items = {v: frozenset(of[v]) for v in set(self.at) if v}
-        self.short = {v: frozenset(x) for v, x in enumerate(short) if x}
-        self.least = min([window, *(self.length[v] for v in self.short)])
-
-    def _extend(self, last: int, c: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-
-        def split(p: int, q: int) -> int:
-            clone = len(nxt)
-            nxt.append(dict(nxt[q]))
-            link.append(link[q])
-            length.append(length[p] + 1)
+        self.window, self.vocab, self.names = window, {}, []
+        nxt: list = [None]  # a state's transitions: None, word << 32 | target, or a dict if there are several
+        link, length, low = array("i", [-1]), array("i", [0]), (1 << 32) - 1
+
+        def get(v: int, c: int) -> int:
+            e = nxt[v]
+            if e is None:
+                return -1
+            if type(e) is int:
+                return e & low if e >> 32 == c else -1
+            return e.get(c, -1)
+
+        def put(v: int, c: int, to: int) -> None:
+            e = nxt[v]
+            if e is None or (type(e) is int and e >> 32 == c):
+                nxt[v] = c << 32 | to
+            elif type(e) is int:
+                nxt[v] = {e >> 32: e & low, c: to}
+            else:
+                e[c] = to
+
+        def state(transitions, up: int, n: int) -> int:
+            nxt.append(transitions)
+            link.append(up)
+            length.append(n)
+            return len(nxt) - 1
+
+        def split(p: int, q: int, c: int) -> int:
+            clone = state(dict(nxt[q]) if type(nxt[q]) is dict else nxt[q], link[q], length[p] + 1)
             link[q] = clone
-            while p != -1 and nxt[p].get(c) == q:
-                nxt[p][c] = clone
+            while p != -1 and get(p, c) == q:
+                put(p, c, clone)
                 p = link[p]
             return clone
 
-        if c in nxt[last]:
-            q = nxt[last][c]
-            return q if length[q] == length[last] + 1 else split(last, q)
-        new = len(nxt)
-        nxt.append({})
-        link.append(0)
-        length.append(length[last] + 1)
-        p = last
-        while p != -1 and c not in nxt[p]:
-            nxt[p][c] = new
-            p = link[p]
-        if p != -1:
-            q = nxt[p][c]
-            link[new] = q if length[q] == length[p] + 1 else split(p, q)
-        return new
+        def extend(last: int, c: int) -> int:
+            q = get(last, c)
+            if q >= 0:
+                return q if length[q] == length[last] + 1 else split(last, q, c)
+            new, p = state(None, 0, length[last] + 1), last
+            while p != -1 and (q := get(p, c)) < 0:
+                put(p, c, new)
+                p = link[p]
+            if p != -1:
+                link[new] = q if length[q] == length[p] + 1 else split(p, q, c)
+            return new
+
+        paths = []
+        for item, ws in items:
+            if ws:
+                ids, last = array("i", [self.vocab.setdefault(w, len(self.vocab)) for w in ws]), 0
+                for c in ids:
+                    last = extend(last, c)
+                self.names.append(item)
+                paths.append(ids)
+        n = len(nxt)
+        ends, at, above, short = [], array("i", [0]) * n, array("i", [0]) * n, {}
+        for k, ids in enumerate(paths):  # the state of each beginning of an item, now that all are split
+            v, own = 0, array("i")
+            for c in ids:
+                v = get(v, c)
+                own.append(v)
+            ends.append(own)
+            if len(ids) < window:
+                short.setdefault(v, []).append(k)
+        for v in np.argsort(np.array(length), kind="stable")[1:].tolist():
+            u = link[v]
+            at[v] = v if length[u] < window else at[u]
+            above[v] = u if u in short else above[u]
+        pairs = {(at[v], k) for k, own in enumerate(ends) for v in own[window - 1 :]}
+        pairs = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        word, target, more = array("i", [-1]) * n, array("i", [0]) * n, []
+        for v in range(1, n):
+            e = nxt[v]
+            if type(e) is dict:
+                (c, to), *others = e.items()
+                more += [(v << 32 | c, to) for c, to in others]
+                e = c << 32 | to
+            if e is not None:
+                word[v], target[v] = e >> 32, e & low
+        more.sort()
+        self.root = np.array([get(0, c) for c in range(len(self.vocab))], np.int32)
+        self.link, self.length, self.word, self.target, self.at, self.above = (np.array(x, np.int32) for x in (link, length, word, target, at, above))
+        self.keys, self.targets = np.array([k for k, _ in more], np.int64), np.array([t for _, t in more], np.int32)
+        self.held, begin = np.unique(pairs[:, 0], return_index=True)
+        self.places, self.owners = np.append(begin, len(pairs)), pairs[:, 1].astype(np.int32)
+        self.short = short
+        self.least = min([window, *(length[v] for v in short)])
 
     def find(self, ws: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Covered word ranges (ascending, disjoint, end exclusive) and the items with occurring windows."""
@@ -112,30 +149,41 @@ class Automaton:
         ids = np.fromiter(map(self.vocab.get, ws, repeat(-1)), np.int64, len(ws))
         # only runs of known words can match
         edge = np.flatnonzero(np.diff(np.concatenate(([0], (ids >= 0).view(np.int8), [0]))))
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            if b - a >= self.least:
-                self._stream(ids[a:b].tolist(), a, spans, found)
-        return spans, found
-
-    def _stream(self, ids: list[int], base: int, spans: list, found: set) -> None:
-        nxt, link, length, window = self.next, self.link, self.length, self.window
+        edge = edge.reshape(-1, 2)
+        edge = edge[edge[:, 1] - edge[:, 0] >= self.least]
+        if len(edge):
+            view = {name: memoryview(getattr(self, name)) for name in self.VIEWS}  # faster than arrays, one number at a time
+            for a, b in edge.tolist():
+                self._stream(ids[a:b].tolist(), a, spans, found, **view)
+        return spans, {self.names[k] for k in found}
+
+    def _stream(self, ids: list[int], base: int, spans: list, found: set, link, length, word, target, root, at, above, keys, targets, held, places, owners) -> None:
+        window, short, more = self.window, self.short, len(keys)
         v = run = 0
         for i, c in enumerate(ids):
-            while v and c not in nxt[v]:
+            while v:
+                if word[v] == c:
+                    v, run = target[v], run + 1
+                    break
+                key = v << 32 | c
+                k = bisect_left(keys, key) if more else 0
+                if k < more and keys[k] == key:
+                    v, run = targets[k], run + 1
+                    break
                 v = link[v]
                 run = length[v]
-            if c in nxt[v]:
-                v = nxt[v][c]
-                run += 1
+            else:  # every known word leaves the root
+                v, run = root[c], 1
             hit = 0
             if run >= window:
                 hit = window
-                found |= self.items[self.at[v]]
-            u = v if v in self.short and run == length[v] else self.above[v]
+                k = bisect_left(held, at[v])
+                found.update(owners[places[k] : places[k + 1]])
+            u = v if v in short and run == length[v] else above[v]
             while u:
                 hit = max(hit, length[u])
-                found |= self.short[u]
-                u = self.above[u]
+                found.update(short[u])
+                u = above[u]
             if hit:
                 a, b = base + i + 1 - hit, base + i + 1
                 while spans and spans[-1][1] >= a:
@@ -163,40 +211,62 @@ def _merged(spans: list) -> list[tuple[int, int]]:
     return out
 
 
-FOUND = "n_words long, spans array<struct<a:int,b:int>>, items array<string>"
+class Shared:
+    """The automata of all blocks as broadcasts; a worker holds one at a time if there are several."""
 
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int, block_chars: int):
+        sc = docs.sparkSession.sparkContext
+        self.blocks = [sc.broadcast(machine) for machine in automata(benchmark, window, block_chars)]
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The columns in keep (default doc_id), n_words, covered word ranges, and the ids of matching items as strings."""
-    keep = keep or ["doc_id"]
-    names = [c for c in dict.fromkeys([*keep, "text"])]
-    df = docs.select(*names).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<struct<a:int,b:int>>"), "items": F.array().cast("array<string>")})
-    first = True
-    for machine in automata(benchmark, window, block_chars):
-        df = _pass(df if first else common.stage(df, "blocks"), machine)
-        first = False
-    return df.select(*keep, "n_words", "spans", "items")
+    def find(self, texts: list[bytes | None]) -> list[tuple[int, list, set]]:
+        """Number of words, covered ranges and items of each text, over all blocks."""
+        ws = [words(t) for t in texts]
+        out: list = [(len(w), [], set()) for w in ws]
+        for block in self.blocks:
+            machine = block.value
+            for r, w in enumerate(ws):
+                spans, found = machine.find(w)
+                if found:
+                    out[r] = (len(w), _merged([*out[r][1], *spans]) if out[r][1] else spans, out[r][2] | found)
+            if len(self.blocks) > 1:
+                del machine
+                block.__dict__.pop("_value", None)
+        return out
+
+    def groups(self, batches):
+        """The batches, put together if there are several blocks."""
+        group: list = []
+        for batch in batches:
+            if len(self.blocks) < 2:
+                yield batch
+                continue
+            group.append(batch)
+            if sum(b.nbytes for b in group) >= GROUP_BYTES:
+                yield pa.concat_batches(group)
+                group = []
+        if group:
+            yield pa.concat_batches(group)
+
+
+FOUND = "n_words long, spans array<struct<a:int,b:int>>, items array<string>"
 
 
-def _pass(df: DataFrame, machine: Automaton) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(machine)
-    kind = df.schema
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, n_words, covered word ranges, and the ids of matching items as strings."""
+    shared = Shared(docs, benchmark, window, block_chars)
+    source = docs.select("doc_id", "text")
+    kind = schema(f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {FOUND}")
 
     def run(batches):
-        for batch in batches:
-            n, spans, items = [], batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-            for r, text in enumerate(common.raw(batch)):
-                ws = words(text)
-                n.append(len(ws))
-                s, found = shared.value.find(ws)
-                if found:
-                    spans[r] = _merged([*((x["a"], x["b"]) for x in spans[r]), *s])
-                    spans[r] = [{"a": a, "b": b} for a, b in spans[r]]
-                    items[r] = sorted({*items[r], *map(str, found)})
-            new = {"n_words": n, "spans": spans, "items": items}
-            yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else batch.column(f.name) for f in batch.schema], schema=batch.schema)
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(kind)
+        for batch in shared.groups(batches):
+            rows = shared.find(common.raw(batch))
+            cols = [batch.column("doc_id"), [n for n, _, _ in rows], [[{"a": a, "b": b} for a, b in spans] for _, spans, _ in rows], [sorted(map(str, items)) for _, _, items in rows]]
+            yield pa.RecordBatch.from_arrays([c if i == 0 else pa.array(c, f.type) for i, (c, f) in enumerate(zip(cols, arrow))], schema=arrow)
 
-    return df.mapInArrow(run, kind)
+    return source.mapInArrow(run, kind)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -223,25 +293,21 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cove
 
     What a cut joins can hit again, so a text is cut until nothing is hit; each cut shortens it.
     """
-    machines = automata(benchmark, window, block_chars)
-    names, machine, more = docs.columns, next(machines), next(machines, None)
-    if more is not None:
-        del machine, more
-        return _remove_by_blocks(docs, benchmark, window, max_coverage, block_chars)
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    shared, names = Shared(docs, benchmark, window, block_chars), docs.columns
 
     def run(batches):
-        for batch in batches:
-            new, keep = common.texts(batch), []
-            for r, text in enumerate(new):
-                ws = words(text.encode()) if text else []
-                spans, found = shared.value.find(ws)
-                covered = sum(b - a for a, b in spans)
-                keep.append(not covered or covered <= max_coverage * len(ws))
-                while spans and keep[-1]:
-                    text = cut(text, spans)
-                    spans, found = shared.value.find(words(text.encode()))
-                new[r] = text
+        for batch in shared.groups(batches):
+            new = batch.column(names.index("text")).to_pylist()
+            keep, waiting, first = [True] * len(new), range(len(new)), True
+            while waiting:
+                again = []
+                for r, (n, spans, _) in zip(waiting, shared.find([new[r].encode() if new[r] else None for r in waiting])):
+                    if first:
+                        keep[r] = sum(b - a for a, b in spans) <= max_coverage * n
+                    if spans and keep[r]:
+                        new[r] = cut(new[r], spans)
+                        again.append(r)
+                waiting, first = again, False
             yield _with_texts(batch, new, names).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -257,42 +323,6 @@ def _with_texts(batch: pa.RecordBatch, new: list, names: list[str]) -> pa.Record
     return pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
 
-def _remove_by_blocks(docs: DataFrame, benchmark: DataFrame, window: int, max_coverage: float, block_chars: int) -> DataFrame:
-    """As with one block: every pass takes the spans of all blocks on one text, and a cut text is passed again until no block hits."""
-    names = docs.columns
-    # own names, as find() adds columns
-    inner = ["text" if c == "text" else f"c{i}" for i, c in enumerate(names)]
-    left, done = docs.toDF(*inner), None
-    kind, judged = left.schema, False
-    while True:
-        found = common.stage(find(left, benchmark, window, inner, block_chars), "found")
-        clean = found.where(F.size("spans") == 0).select(*inner)
-        done = clean if done is None else done.union(clean)
-        hit = found.where(F.size("spans") > 0)
-        if not judged:
-            covered = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["b"] - s["a"]))
-            hit, judged = hit.where(covered <= F.lit(float(max_coverage)) * F.col("n_words")), True
-        if hit.isEmpty():
-            break
-
-        def run(batches):
-            for batch in batches:
-                new = [cut(t, [(s["a"], s["b"]) for s in spans]) for t, spans in zip(common.texts(batch), batch.column("spans").to_pylist())]
-                yield _with_texts(batch.select(inner), new, inner)
-
-        left = common.stage(hit.select(*inner, "spans").mapInArrow(run, kind), "cut")
-
-    def counted(batches):
-        for batch in batches:
-            yield _with_texts(batch, common.texts(batch), names)
-
-    return done.mapInArrow(counted, kind).toDF(*names)
-
-
-def items_sha256(items: set) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
-
-
 ORACLE = r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 bw AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),

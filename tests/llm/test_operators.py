@@ -100,11 +100,39 @@ def test_decontamination_removes_alike_with_any_blocks(spark):
     # cutting one item joins the halves of another
     texts += [" ".join(words(90) + items[i][:6] + items[j] + items[i][6:]) for i in range(8) for j in range(8) if i != j]
     texts += [" ".join(words(30) + items[0]), None, ""]
-    whole, parts = ({r.doc_id: (r.text, r.n_chars, r.root) for r in dec.remove(docs_of(spark, texts), bench, block_chars=c).collect()} for c in (10**6, 200))
-    assert whole == parts and 0 < len(whole) < len(texts)
+    whole, *others = ({r.doc_id: (r.text, r.n_chars, r.root) for r in dec.remove(docs_of(spark, texts), bench, block_chars=c).collect()} for c in (10**6, 200, 40))
+    parts = others[0]
+    assert all(whole == x for x in others) and 0 < len(whole) < len(texts)
     assert not any(brute_hits(t, [(i, " ".join(w)) for i, w in enumerate(items)])[1] for t, _, _ in parts.values())
 
 
+@pytest.mark.parametrize("block_chars", [10**6, 40, 20, 10])
+def test_decontamination_judges_coverage_against_brute_force(spark, block_chars):
+    rng = random.Random(14)
+    few = ["ab", "cd", "ef", "gh"]
+    items = [(i, " ".join(rng.choice(few) for _ in range(rng.choice([3, 4, 12])))) for i in range(6)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [" ".join(rng.choice([*few, "zz", "yy"]) for _ in range(rng.randrange(40))) for _ in range(60)]
+    texts += [" ".join(["zz"] * 18 + items[i][1].split() + ["yy"] + items[j][1].split()) for i in range(6) for j in range(6)]
+
+    def brute(t):
+        n, hit, _ = brute_hits(t, items)
+        if hit > 0.5 * n:
+            return None
+        while hit:
+            ws, gone = t.split(), set()
+            for _, item in items:
+                iw = item.split()
+                k = min(10, len(iw))
+                gone |= {p for x in range(len(iw) - k + 1) for i in range(len(ws) - k + 1) if ws[i : i + k] == iw[x : x + k] for p in range(i, i + k)}
+            t = " ".join(w for i, w in enumerate(ws) if i not in gone)
+            hit = brute_hits(t, items)[1]
+        return t.split()
+
+    got = {r.doc_id: r.text.split() for r in dec.remove(docs_of(spark, texts), bench, block_chars=block_chars).collect()}
+    assert got == {i: b for i, t in enumerate(texts) if (b := brute(t)) is not None}
+
+
 def brute_similarity(a, b):
     from collections import Counter
 
