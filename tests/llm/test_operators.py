@@ -377,12 +377,36 @@ def test_windows_hold_whole_addresses():
         ("<details>x<summary>s</summary></details>", "s"),
         ("a < b <i>c</i", "a < b c"),
         ('<a title="x>y">z</a>', "z"),
+        ("<TITLE>x</TITLE>\u0130 hello world", "\u0130 hello world"),
+        ("<script>'</scripts>'</SCRIPT >a", "a"),
+        ("<style>.h, p.k{display:none} /* .a{display:none} */ @media print{.a{display:none}} #i{visibility:hidden}</style><b class='h x'>1</b><p class=k>2</p><i class=k>3</i><i class=a>4</i><i id=i>5</i>", "34"),
+        ("<style>.h{display:none}</style><i class=h style='display:inline'>a</i><style>i{display:none !important}</style><i>b</i>c", "c"),
+        ("<textarea>\na &amp; b\n c</textarea>", "a & b\n c"),
+        ("<select><option>x<option selected>y</select> <select multiple><option>p<option>q</select>", "y p q"),
+        ("<svg><title>t</title><text>in svg</text></svg> <math><mi>x</mi><annotation>no</annotation></math>", "in svg x"),
+        ("<input type=submit value=Go><input value=typed>", "Go"),
+        ("<table><tr><td colspan=2>ab<td>c<tr><td>d<td>e<td>f</table>", "ab    c\nd  e  f"),
+        ("<table><tr><td><p>a<p>b<td>c<tr><td></table>", "a  c\n\nb"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
+        ("<pre>\na\n\n\nb\n</pre>c", "a\n\n\nb\n\nc"),
     ],
 )
 def test_html(html, text):
     assert html_text.extract(html) == text
 
 
+def test_html_takes_time_in_proportion():
+    import time
+
+    took = []
+    for n in (5000, 50000):
+        start = time.process_time()
+        assert html_text.extract("<div>" * n + "<table><tr>" + "<td>x" * n).count("x") == n
+        assert html_text.extract("<b>" * n + "<p>x</i>" * n).count("x") == n
+        took.append(time.process_time() - start)
+    assert took[1] < 30 * took[0] + 1
+
+
 def test_html_depth():
     assert html_text.extract("<div>" * 20000 + "x") == "x"
 
