@@ -330,6 +330,77 @@ def test_fingerprints_against_brute_force(spark):
     assert rows[0].fingerprint == rows[1].fingerprint != rows[3].fingerprint and rows[0].near_next == 1.0
 
 
+def plain_luhn(text):
+    odd = [int(c) for c in reversed(text) if c.isdigit()]
+    return (sum(odd[::2]) + sum(sum(divmod(2 * d, 10)) for d in odd[1::2])) % 10 == 0
+
+
+def test_card_numbers_against_regular_expressions():
+    rng = random.Random(20)
+    found = 0
+    for _ in range(4000):
+        d = "".join(rng.choice("0123456789") for _ in range(rng.randrange(14, 21)))
+        t = rng.choice(["", "x ", "5 "]) + "".join(c + rng.choice(["", "", "", " ", "-", "  "] if rng.random() < 0.2 else [""]) for c in d) + rng.choice(["", " 7", "-", "."])
+        want = [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(re.sub(r"\D", "", m[0], flags=re.A)) <= 19 and plain_luhn(m[0])]
+        assert pii.base(t)[2] == want
+        found += len(want)
+    assert found > 100
+
+
+def test_field_against_enumeration():
+    """Viterbi, marginals and the gradient of a small field against all sequences of tags."""
+    from itertools import product
+
+    table = [("a 1", [("phone", 2, 3)]), ("@ b 2", []), ("3", [("ip", 0, 1)])]
+    crf, rng = pii.Field(table, steps=0), np.random.default_rng(3)
+    crf.emit = rng.normal(size=crf.emit.shape)
+    crf.emit[0] = 0
+    crf.step, crf.first = rng.normal(size=crf.step.shape), rng.normal(size=crf.first.shape)
+    sequences, golds = [], []
+    for text, spans in table:
+        m = list(pii.TOKEN.finditer(text))
+        sequences.append(pii.facts([x[0] for x in m], [bool(i) and x.start() > m[i - 1].end() for i, x in enumerate(m)]))
+        golds.append([next((2 * pii.KINDS.index(k) + 1 for k, a, b in spans if a <= x.start() < b), 0) for x in m])
+
+    def scores(sequence):
+        e = crf.emit[crf._ids([sequence], len(sequence))[0]].sum(1)
+        for y in product(range(pii.TAGS), repeat=len(sequence)):
+            yield y, crf.first[y[0]] + crf.fixed_first[y[0]] + sum(e[i, k] for i, k in enumerate(y)) + sum(crf.step[p, q] + crf.fixed[p, q] for p, q in zip(y, y[1:]))
+
+    def likelihood():
+        return sum(dict(scores(s))[tuple(g)] - np.log(sum(np.exp(v) for _, v in scores(s))) for s, g in zip(sequences, golds))
+
+    for s, y, p in zip(sequences, crf.viterbi(sequences), crf.marginals(sequences)):
+        every = list(scores(s))
+        assert tuple(y) == max(every, key=lambda x: x[1])[0]
+        want, total = np.zeros((len(s), pii.TAGS)), sum(np.exp(v) for _, v in every)
+        for tags, v in every:
+            want[range(len(s)), tags] += np.exp(v) / total
+        assert np.allclose(p, want, atol=1e-9)
+    t = max(map(len, sequences))
+    mask = np.array([[i < len(s) for i in range(t)] for s in sequences])
+    grads = crf._gradient(crf._ids(sequences, t), np.array([g + [0] * (t - len(g)) for g in golds]), mask)
+    for param, grad in zip((crf.emit, crf.step, crf.first), grads):
+        for at in [tuple(rng.integers(0, n) for n in param.shape) for _ in range(6)]:
+            if param is crf.emit and at[0] == 0:
+                continue
+            keep, diff = param[at], []
+            for h in (1e-5, -1e-5):
+                param[at] = keep + h
+                diff.append(likelihood())
+            param[at] = keep
+            assert abs((diff[0] - diff[1]) / 2e-5 - grad[at]) < 1e-4
+
+
+def test_field_decides_spans():
+    for text, kind in [("call 030/1234567 now", "phone"), ("call 0171 2345678 now", "phone"), ("write john at example dot com today", "email"), ("mail a [at] b.com", "email")]:
+        own, added = pii.find([text], pii.field())[0]
+        assert not any(own) and [pii.KINDS[k] for k, _, _ in added] == [kind], text
+    for text in ["look at the dot com boom", "in 2019 1234567 people", "page 123-456 of 789", "on 2021-03-04 at 12:30:15", "3.14159 and 1,234,567"]:
+        own, added = pii.find([text], pii.field())[0]
+        assert not any(own) and not added, text
+
+
 def test_base_patterns_against_regular_expressions():
     rng = random.Random(19)
     for _ in range(3000):
@@ -337,6 +408,7 @@ def test_base_patterns_against_regular_expressions():
         own = pii.base(t)
         assert own[0] == [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
         assert own[1] == [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+        assert own[2] == [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(re.sub(r"\D", "", m[0], flags=re.A)) <= 19 and plain_luhn(m[0])]
         assert own[3] == [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub(r"\D", "", m[0], flags=re.A)) <= 15]
 
 
