@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX63 = (1 << 63) - 1
-#: Rows of one Arrow batch that goes to Python: 500 texts of 120 KB are 60 MB.
-ARROW_ROWS = 500
+#: Most rows of one Arrow batch that goes to Python, and bytes after which a batch ends (a longer row is a batch of its own).
+ARROW_ROWS, ARROW_BYTES = 500, 32_000_000
+#: Most label values of a bounded sample; of more, the most frequent ones.
+LABELS = 64
 
 _LOWER = bytes(range(256)).lower()
 #: For bytes.translate: A-Z to a-z; what is no ASCII letter, digit or part of a non-ASCII character becomes a space.
@@ -21,14 +23,18 @@ WORD_BYTES = bytes(_LOWER[b] if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Arrow batches of the session are bounded from here on, as texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir of the session, or a temporary one where it is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir of the session. Unset, a temporary one serves a local master (tests); a cluster must set it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         # the setting can't be changed in a running session, so the folder is kept here
         root = _own_roots.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="seqloom-")
         _own_roots[spark.sparkContext.applicationId] = root
@@ -67,11 +73,12 @@ def hashed(seed: int, *cols: str) -> F.Column:
 
 
 def bounded_sample(df: DataFrame, label: str, per_class: int, key: str = "doc_id", seed: int = 17) -> tuple[DataFrame, dict]:
-    """About per_class rows of each value of label, by a hash of key, and the share of each value that was taken.
+    """About per_class rows of each value of label (of the LABELS most frequent ones), by a hash of key, and the share of each value that was taken.
 
-    Only a count per label value comes to the driver. The same rows come whatever the partitioning.
+    Only a count for each of these values comes to the driver. The same rows come whatever the partitioning.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect() if r[0] is not None}
+    top = df.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(LABELS)
+    counts = {r[0]: r[1] for r in top.collect()}
     share = {k: min(1.0, per_class / n) for k, n in counts.items()}
     keep = F.lit(False)
     for k, s in share.items():

@@ -5,8 +5,12 @@ A text becomes the set of its 1-, 2- and 3-grams over 64 symbols (0: a run of no
 their sizes. Landmarks are labelled texts; ridge regression against the landmarks' kernel columns gives one score for each
 language, and a batch is scored by two matrix products.
 
-Defined results: a text that is null or has no letter gets `und` and score 0. Without training rows every text is `und`.
-Repeated rows are scored alike; very long texts are taken whole. Any extra columns of the input are ignored.
+The sample is bounded: about TRAIN_PER_LANG documents of each of the common.LABELS most frequent languages; what comes to the driver of each is
+its set of grams, GRAMS numbers at most, whatever the text's length.
+
+Defined results: a text that is null or has no letter gets `und` and score 0. Without training rows (or an empty table) every text is `und`; the
+only language learned is that of every text with a letter. Of languages with one score the first in order of name is taken.
+Repeated rows are scored alike; very long texts are taken whole. Any extra columns of the input are ignored by identify() and pass through keep_identified().
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,11 +65,8 @@ def grams(text: str | None, scratch: np.ndarray) -> np.ndarray | None:
 class Model:
     """Landmark grams and regression weights."""
 
-    def __init__(self, rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE):
-        scratch, seen = np.zeros(GRAMS, bool), []
-        for text, lang in rows:
-            if grams(text, scratch) is not None:
-                seen.append((np.flatnonzero(scratch), lang))
+    def __init__(self, rows: list[tuple[np.ndarray, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+        seen = [(g, lang) for g, lang in rows if len(g)]  # grams of a text, ascending
         self.langs = sorted({lang for _, lang in seen})
         if not seen:
             return
@@ -110,12 +112,27 @@ class Model:
         return langs, scores
 
 
+def gram_set(text: str | None, scratch: np.ndarray) -> np.ndarray:
+    """The grams of the text, ascending; none if there is no letter."""
+    return np.flatnonzero(scratch) if grams(text, scratch) is not None else np.zeros(0, np.int64)
+
+
 def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model:
     """From labelled documents that aren't held out; at most about per_lang of each language (a documented bound)."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~common.held(2, 4))
     sample, _ = common.bounded_sample(labelled.select("doc_id", "lang", "text"), "lang", per_lang)
-    rows = sorted(((r.doc_id, r.lang, r.text) for r in sample.collect()), key=lambda r: (common.splitmix(np.array([r[0] or 0], np.int64).view(np.uint64))[0], r))
-    return Model([(text, lang) for _, lang, text in rows])
+
+    def run(batches):
+        scratch = np.zeros(GRAMS, bool)
+        for batch in batches:
+            sets = [gram_set(t, scratch).astype(np.int32) for t in common.texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(sets, pa.list_(pa.int32()))], names=["doc_id", "lang", "grams"])
+
+    kind = sample.schema["lang"].dataType.simpleString()
+    found = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(run, f"doc_id long, lang {kind}, grams array<int>").toArrow()
+    rows = [(d or 0, lang, np.array(g, np.int64)) for d, lang, g in zip(*(found.column(c).to_pylist() for c in ("doc_id", "lang", "grams")))]
+    rows.sort(key=lambda r: (common.splitmix(np.array([r[0]], np.int64).view(np.uint64))[0], r[0], r[1], r[2].tolist()))
+    return Model([(g, lang) for _, lang, g in rows])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -139,8 +156,6 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.0) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             langs, scores = shared.value.predict(common.texts(batch))
             yield batch.filter(pa.array([lang != "und" and s >= min_score for lang, s in zip(langs, scores)], pa.bool_()))

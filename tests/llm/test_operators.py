@@ -61,6 +61,48 @@ def test_language_id(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
 
 
+def test_language_id_against_plain_kernel_ridge():
+    """Kernel, landmarks and regression with sets and loops."""
+    rng = random.Random(4)
+    stock = {"aa": "ban kol tir mes dun \u00e9t".split(), "bb": "ban zug wex qop yib vaf".split(), "cc": "kol zug dun \u6f22\u5b57".split()}
+    rows = [(" ".join(rng.choice(stock[lang]) for _ in range(rng.randrange(1, 12))) + rng.choice(["", ".", " 12 "]), lang) for lang in stock for _ in range(9)]
+    code = language_id.symbols()
+
+    def plain(text):
+        s = [int(code[ord(c)]) for c in text.lower()]
+        s = [c for i, c in enumerate(s) if c or (i and s[i - 1])]
+        return {tuple(s[i : i + k]) for k in (1, 2, 3) for i in range(len(s) - k + 1)}
+
+    scratch = np.zeros(language_id.GRAMS, bool)
+    model = language_id.Model([(language_id.gram_set(t, scratch), lang) for t, lang in rows], landmarks=9)
+    sets = [plain(t) for t, _ in rows]
+    langs = sorted(stock)
+    marks = sorted(i for lang in langs for i in [j for j, (_, x) in enumerate(rows) if x == lang][:3])
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    k = np.array([[kernel(a, sets[j]) for j in marks] for a in sets])
+    y = np.array([[1.0 if lang == x else -1.0 for x in langs] for _, lang in rows])
+    # ridge regression on landmarks: least sum of squares (each language weighs the same) and ridge times the norm of the function
+    alpha = np.linalg.solve(k.T @ k / 9 + 1e-3 * k[marks] + 1e-9 * np.eye(9), k.T @ y / 9)
+    new = [t for t, _ in rows] + ["ban kol wex", "d\u00fcn zug", "q", "ban"]
+    got_langs, got_scores = model.predict([*new, "", None, "12 %"])
+    assert got_langs[len(new) :] == ["und"] * 3 and got_scores[len(new) :] == [0.0] * 3
+    for t, lang, score in zip(new, got_langs, got_scores):
+        f = language_id.SHARPNESS * (np.array([kernel(plain(t), sets[j]) for j in marks]) @ alpha)
+        p = np.exp(f - f.max()) / np.exp(f - f.max()).sum()
+        assert lang == langs[int(p.argmax())] and abs(score - p.max()) < 1e-3
+
+
+def test_shared_folder_must_be_set_on_a_cluster():
+    from types import SimpleNamespace
+
+    from seqloom.llm import common
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077", applicationId="none"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_root(cluster)
+
+
 def brute_hits(text, items, window=10):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
