@@ -2,14 +2,15 @@
 
 Every shingle (five consecutive words; a shorter text is one) is hashed once. The top bits of the hash choose one of BINS bins, each
 bin keeps its least hash. An empty bin takes the value of a filled one chosen by hashing (bin, attempt), optimal densification; after
-ATTEMPTS misses the bins after it are tried in turn. The low BITS bits of each bin are kept, packed as hexadecimal digits. The likeness
+ATTEMPTS misses it takes the filled bin with the least hash of (bin, filled bin), a choice by hashing too. The low BITS bits of each bin are kept, packed as hexadecimal digits. The likeness
 of two fingerprints is the share m of agreeing bins, with the bias of chance agreements taken out: (m - c) / (1 - c), c = 2^-BITS.
 
 How: a row's hashes and one sentinel for each bin (its largest value) are sorted together; the first of each bin is then its minimum,
 or the sentinel if it is empty. So no row is exploded and a fingerprint needs no shuffle.
 
 Defined results: a null text is empty; a text without words has the fingerprint of all-zero bins; the likeness of two texts without words is 1,
-of one such and another 0. Equal texts have equal fingerprints. An empty table gives no rows.
+of one such and another 0. Equal texts have equal fingerprints. Documents with a null doc_id come first; those with one doc_id follow each other in
+order of text, repeated rows in any order. Very long texts are taken whole. Other columns, whatever their names, are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WORDS, BIN_BITS, BITS, ATTEMPTS = 5, 7, 8, 32
+WORDS, BIN_BITS, BITS, ATTEMPTS = 5, 8, 8, 32
 BINS = 1 << BIN_BITS
 LOW = (1 << (63 - BIN_BITS)) - 1  # bits of a hash below its bin number
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -46,13 +47,14 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     # the first of each bin has another bin number than the one before it; -1 stands before the first
     first = F.filter("_h", lambda h, i: F.shiftrightunsigned(h.bitwiseXOR(F.get("_h", i - 1)), 63 - BIN_BITS) != 0)
     step = step.select(*kept, "_some", F.transform(first, lambda h: F.nullif(h.bitwiseAND(LOW), F.lit(LOW))).alias("_b"))
+    # the filled bins and their values
+    step = step.withColumn("_f", F.filter(F.transform("_b", lambda h, i: F.struct(i.alias("i"), h.alias("h"))), lambda x: x["h"].isNotNull()))
     # where attempt t of each bin looks: constants, folded when the query is planned
     looks = [F.expr("array(" + ",".join(str(int(x)) for x in look_at(t)) + ")") for t in range(ATTEMPTS)]
 
     def filled(own: Column, i: Column) -> Column:
         tried = [F.get("_b", F.get(look, i)) for look in looks]
-        # the bins after it, in turn; some bin is filled as the text has a shingle
-        rest = F.get(F.filter(F.concat(F.slice("_b", i + 1, BINS), F.slice("_b", F.lit(1), F.greatest(i, F.lit(1)))), lambda h: h.isNotNull()), F.lit(0))
+        rest = F.array_min(F.transform("_f", lambda x: F.struct(F.xxhash64(i, x["i"]).alias("k"), x["h"].alias("h"))))["h"]
         return F.get(digits, F.coalesce(own, *tried, rest).bitwiseAND((1 << BITS) - 1).cast("int"))
 
     digits = F.expr("array(" + ",".join(f"'{k:0{BITS // 4}x}'" for k in range(1 << BITS)) + ")")

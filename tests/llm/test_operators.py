@@ -372,6 +372,51 @@ def test_fingerprints_against_brute_force(spark):
     assert rows[0].fingerprint == rows[1].fingerprint != rows[3].fingerprint and rows[0].near_next == 1.0
 
 
+def plain_fingerprint(text):
+    """One permutation, hashed densification and low bits, with loops and another library's hash."""
+    import xxhash
+
+    def hashed(*values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True) if isinstance(v, int) else v, seed)
+        return seed
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    ws = [signed(hashed(w.encode())) for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text))]
+    if not ws:
+        return "0" * (fingerprints.BINS * fingerprints.BITS // 4)
+    shift = 63 - fingerprints.BIN_BITS
+    least: list = [None] * fingerprints.BINS
+    for k in range(max(1, len(ws) - 4)):
+        h = hashed(*ws[k : k + 5]) & (1 << 63) - 1
+        b, v = h >> shift, h & (1 << shift) - 1
+        least[b] = v if least[b] is None else min(least[b], v)
+    filled = [b for b, v in enumerate(least) if v is not None]
+    short = lambda i: i.to_bytes(4, "little", signed=True)
+    out = []
+    for b, v in enumerate(least):
+        for t in range(fingerprints.ATTEMPTS):
+            if v is None:
+                v = least[int(fingerprints.look_at(t)[b])]
+        if v is None:
+            v = least[min(filled, key=lambda f: signed(hashed(short(b), short(f))))]
+        out.append(f"{v & 255:02x}")
+    return "".join(out)
+
+
+def test_fingerprints_bin_by_bin(spark):
+    rng = random.Random(18)
+    texts = [prose(rng, n) for n in (1, 3, 6, 9, 40, 300, 3000)] + ["Ab cd, EF gh! ij", "\u00e9t\u00e9 un deux trois quatre cinq", "", None]
+    rows = fingerprints.fingerprints(docs_of(spark, texts)).collect()
+    assert {r.doc_id: r.fingerprint for r in rows} == {i: plain_fingerprint(t or "") for i, t in enumerate(texts)}
+    for r in rows:
+        same = sum(r.fingerprint[k : k + 2] == r.edited_fingerprint[k : k + 2] for k in range(0, 2 * fingerprints.BINS, 2)) / fingerprints.BINS
+        if (texts[r.doc_id] or "").strip() and set(r.edited_fingerprint) != {"0"}:
+            assert abs(r.near_edited - max(0.0, (same - 1 / 256) / (1 - 1 / 256))) < 1e-9
+
+
 def plain_luhn(text):
     odd = [int(c) for c in reversed(text) if c.isdigit()]
     return (sum(odd[::2]) + sum(sum(divmod(2 * d, 10)) for d in odd[1::2])) % 10 == 0
