@@ -1,5 +1,6 @@
 """The training-data operators on small tables: against brute force, and on nulls, empty tables, ties, repeated rows and extra columns."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -46,6 +47,53 @@ def test_every_operator_takes_odd_rows(spark, texts):
     assert pii.mask(docs).columns == docs.columns and dec.remove(docs, items).columns == docs.columns and nd.keep_first(docs).columns == docs.columns
 
 
+def test_null_and_repeated_ids_and_a_long_text(spark):
+    """What an operator says of a row depends on its text (and its neighbours in order of doc_id), whatever the ids."""
+    rng = random.Random(23)
+    enc = tokens.Encoder()
+    a, b, c = prose(rng, 60), "mail x.y@z.example.com " + prose(rng, 30), "few words"
+    long = prose(rng, 150_000)
+    other = long[:-5] + "other"
+    rows = [(None, a), (None, b), (5, a), (5, c), (5, c), (2, a), (7, None), (8, long), (9, other)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x", "y", "z") for i, t in rows], DOCS).repartition(3)
+    given = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    sort = lambda it: sorted(it, key=str)
+    ids = {t: np.append(enc.whole(t or ""), np.uint32(2)).astype("<u4") for _, t in rows}
+    items = spark.createDataFrame([(0, " ".join(a.split()[:14])), (None, "few words")], "item_id long, text string")
+    assert sort((r.doc_id, r.lang_pred) for r in language_id.identify(docs, language_id.train(docs)).collect()) == sort((i, "en" if t else "und") for i, t in rows)
+    bench = [(0, " ".join(a.split()[:14])), (None, "few words")]
+    want = {t: brute_hits(t, bench)[:2] if t not in (long, other) else None for _, t in rows}
+    got = dec.report(docs, items).collect()
+    assert sort((r.doc_id, r.n_words, r.n_hit) for r in got if r.doc_id not in (8, 9)) == sort((i, *want[t]) for i, t in rows if want[t])
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    assert {r.doc_id: r.n_words for r in got if r.doc_id in (8, 9)} == {8: len(pattern.findall(long)), 9: len(pattern.findall(other))}
+    assert sort((r.doc_id, r.class_id, r.rep) for r in nd.classes(docs).collect()) == sort([(None, None, None)] * 2 + [(5, 2, 2), (5, 5, 5), (5, 5, 5), (2, 2, 2), (7, 7, 7), (8, 8, 8), (9, 8, 9)])
+    out = sorted(token_output.round_trip(docs).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in out] == [i for i, _ in given] and [r.start for r in out] == np.cumsum([0, *(r.n_tokens for r in out)])[:-1].tolist()
+    assert sort((r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == sort((i, len(ids[t]), zlib.crc32(ids[t].tobytes())) for i, t in rows)
+    lengths: dict = {}
+    for r in packing.pack(docs).collect():
+        lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
+    assert lengths == {i: sum(len(ids[t]) for j, t in rows if j == i) for i, _ in rows}
+    labels = spark.createDataFrame([(2, 1, 0), (2, 1, 1), (5, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    scored = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert sort(r.doc_id for r in scored) == sort(i for i, _ in rows) and len({r.score for r in scored if r.doc_id == 2}) == 1
+    assert sort((r.doc_id, r.n_tokens) for r in token_counts.count(docs).collect()) == sort((i, len(ids[t]) - 1) for i, t in rows)
+    prints = fingerprints.fingerprints(docs).collect()
+    assert sort((r.doc_id, r.fingerprint) for r in prints if r.doc_id not in (8, 9)) == sort((i, plain_fingerprint(t or "")) for i, t in rows if i not in (8, 9))
+    nxt = {k: given[(k + 1) % len(given)][1] or "" for k in range(len(given))}
+    want = sort((i, len(t or ""), hashlib.sha256(((t or "")[: len(t or "") - len(t or "") // 2] + nxt[k][: len(t or "") // 2]).encode()).hexdigest()) for k, (i, t) in enumerate(given))
+    assert sort((r.doc_id, r.n_chars, r.edited_sha256) for r in prints) == want
+    assert next(r for r in prints if r.doc_id == 8).near_next > 0.95
+    found = pii.report(docs).collect()
+    assert sort((r.doc_id, r.n_email) for r in found) == sort((i, int("@" in (t or ""))) for i, t in rows)
+    assert sort(r.text or "" for r in pii.mask(docs).collect()) == sort((t or "").replace("x.y@z.example.com", "<EMAIL>") for _, t in rows)
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"), F.lit(1).alias("text"))
+    assert sort((r.page_id, r.text) for r in html_text.extracted(pages).collect() if r.page_id in (5, 7)) == sort((i, t or "") for i, t in ((5, " ".join(a.split())), (5, c), (5, c), (7, "")))
+    kept = dec.remove(docs, items)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {7, 8, 9}
+
+
 def test_language_id(spark):
     rng = random.Random(3)
     stock = {"aa": "ban kol tir mes dun".split(), "bb": "zug wex qop yib vaf".split()}
@@ -298,9 +346,12 @@ def test_token_output_and_packing(spark):
     got = sorted(tuple(r) for r in token_output.round_trip(docs_of(spark, texts)).collect())
     assert got == [(i, int(start[i]), len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)]
     places: dict = {}
+    held: dict = {i: [] for i in range(len(texts))}
     for r in packing.pack(docs_of(spark, texts)).collect():
         assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
         places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        held[r.doc_id] += list(range(r.start, r.start + r.length))
+    assert all(sorted(held[i]) == list(range(len(x))) for i, x in enumerate(ids))  # every token once
     for p in places.values():
         assert [a for a, _ in sorted(p)] == np.cumsum([0, *(n for _, n in sorted(p))])[:-1].tolist() and sum(n for _, n in p) <= 1024
 
@@ -320,6 +371,36 @@ def test_plan_keeps_every_constraint(score):
         assert [o for o, _ in b] == np.cumsum([0, *(n for _, n in b)])[:-1].tolist()
 
 
+@pytest.mark.parametrize("score", ["dot", "norm"])
+@pytest.mark.parametrize("max_docs,max_cost", [(None, None), (3, None), (None, 1700), (4, 2500)])
+def test_plan_against_best_fit_one_at_a_time(score, max_docs, max_cost):
+    """The same bins as if every piece were placed by itself, with limits on documents and cost that bind."""
+    rng = np.random.default_rng(6)
+    for _ in range(8):
+        lengths = sorted((int(n) for n in rng.integers(1, 41, 120)), reverse=True)
+        full = np.array([100, max_docs or 100, max_cost or 10000], np.int64)
+        room, bins, w = np.zeros((0, 3), np.int64), [], np.array(packing.WEIGHTS)
+        for n in lengths:
+            need = np.array([n, 1, n * n], np.int64)
+            ok = [i for i in range(len(bins)) if (room[i] >= need).all()]
+            if ok:
+                fit = lambda i: float((room[i] / full * (need / full) * w).sum() if score == "dot" else (((room[i] - need) / full) ** 2 * w).sum())
+                best = min(ok, key=lambda i: (round(fit(i), 12), i))
+            else:
+                best = len(bins)
+                bins.append([])
+                room = np.concatenate([room, full[None]])
+            bins[best].append(n)
+            room[best] -= need
+        got: dict = {}
+        counts = {n: lengths.count(n) for n in set(lengths)}
+        for n, _, k, first, offset in packing.plan(counts, 100, max_docs, max_cost, score).tolist():
+            for b in range(first, first + k):
+                got.setdefault(b, []).append((offset, n))
+        assert len(got) == len(bins)
+        assert sorted(sorted(n for _, n in b) for b in got.values()) == sorted(map(sorted, bins))
+
+
 def test_edits_against_whole_counts():
     rng, enc = random.Random(13), tokens.Encoder()
     for _ in range(60):
@@ -351,6 +432,55 @@ def test_toxicity(spark):
     assert np.mean([r.predicted == toxic[r.doc_id] for r in held]) > 0.95
 
 
+def test_trees_against_loops():
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(60, 3)), 1)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=60) > 0).astype(float)
+    w, rate, l2 = rng.uniform(0.5, 2, 60), 0.3, 2.0
+    model = toxicity.Trees(x, y, w, trees=4, depth=2, rate=rate, l2=l2)
+    u = w / w.mean()
+    f = np.full(60, np.log((u * y).sum() / (u * (1 - y)).sum()))
+    for _ in range(4):
+        q = 1 / (1 + np.exp(-f))
+        g, h = u * (q - y), u * q * (1 - q)
+        node = np.zeros(60, int)
+        for _ in range(2):
+            nxt = node * 2
+            for k in set(node.tolist()):
+                own = np.flatnonzero(node == k)
+                best = (1e-12, None)
+                for j in range(3):
+                    for cut in model.cuts[j]:
+                        a, b = own[x[own, j] <= cut], own[x[own, j] > cut]
+                        if h[a].sum() < 1e-3 or h[b].sum() < 1e-3:
+                            continue
+                        gain = sum(g[s].sum() ** 2 / (h[s].sum() + l2) for s in (a, b)) - g[own].sum() ** 2 / (h[own].sum() + l2)
+                        if gain > best[0] + 1e-9:
+                            best = (gain, b)
+                if best[1] is not None:
+                    nxt[best[1]] += 1
+            node = nxt
+        for k in set(node.tolist()):
+            own = node == k
+            f[own] += -rate * g[own].sum() / (h[own].sum() + l2)
+    assert np.allclose(model.margin(x), f, atol=1e-6)
+
+
+def test_isotonic_against_its_definition():
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        n = int(rng.integers(1, 25))
+        m, y, w = np.sort(rng.normal(size=n)), rng.integers(0, 2, n).astype(float), rng.uniform(0.5, 2, n)
+        at, value = toxicity.isotonic(m, y, w)
+        mean = lambda a, b: (w[a : b + 1] * y[a : b + 1]).sum() / w[a : b + 1].sum()
+        want = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        assert np.allclose(sorted(set(np.round(want, 9))), sorted(set(np.round(value, 9))))
+        # each block's centre is the weighted mean of the margins that have its value
+        for c, v in zip(at, value):
+            own = np.isclose(want, v)
+            assert abs(c - (w[own] * m[own]).sum() / w[own].sum()) < 1e-9
+
+
 def test_fingerprints_against_brute_force(spark):
     rng = random.Random(17)
     base = prose(rng, 300)
@@ -362,8 +492,6 @@ def test_fingerprints_against_brute_force(spark):
         a, b = set(nd.shingles(a).tolist()), set(nd.shingles(b).tolist())
         return len(a & b) / len(a | b) if a | b else 1.0
 
-    import hashlib
-
     for i, t in enumerate(given):
         nxt, half = given[(i + 1) % len(given)], len(t) // 2
         edited = t[: len(t) - half] + nxt[:half]
