@@ -158,7 +158,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     """64-bit hashes of spans of bytes, from prefix sums of a polynomial modulo 2^64; the multiplier is odd, so it has an inverse."""
     global _powers, _inverse
     if len(_powers) <= len(data):
-        size = max(len(data) + 1, min(2 * len(_powers), 1 << 21), 1 << 16)
+        size = max(len(data) + 1, min(2 * len(_powers), 1 << 20), 1 << 16)
         _powers = np.concatenate(([np.uint64(1)], np.cumprod(np.full(size - 1, np.uint64(_MULT)))))
         _inverse = np.concatenate(([np.uint64(1)], np.cumprod(np.full(size - 1, np.uint64(pow(_MULT, -1, 1 << 64))))))
     total = np.concatenate(([np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[: len(data)])))

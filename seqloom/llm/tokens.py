@@ -45,23 +45,49 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)  # size -1: unsafe
+        # hashes and their slots: sorted arrays, the second ones short and merged into the first now and then (a dict takes ten times the memory)
+        self.keys, self.slots = [np.zeros(0, np.uint64)] * 2, [np.zeros(0, np.int32)] * 2
+        self.n = 0
+        # of each slot: place and number of its ids (-1: unsafe), its kind, place and number of its piece's bytes
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.kind, self.at, self.length = np.zeros(1 << 16, np.int8), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
-        # of each slot: kind, place and number of its piece's bytes
-        self.kind, self.at, self.length = np.zeros(1 << 16, np.int8), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.bytes, self.held = np.zeros(1 << 20, np.uint8), 0
 
-    def _keep(self, slots: np.ndarray, kinds: np.ndarray, pieces: list[bytes]) -> None:
-        """The pieces of new slots."""
-        data, n = np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces))
-        while len(self.kind) < len(self.size):
-            self.kind, self.at, self.length = (np.resize(x, 2 * len(x)) for x in (self.kind, self.at, self.length))
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Slots of the hashes, -1 where there is none."""
+        out = np.full(len(keys), -1, np.int32)
+        for own, slots in zip(self.keys, self.slots):
+            if len(own):
+                at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                out = np.where(own[at] == keys, slots[at], out)
+        return out
+
+    def _add(self, keys: np.ndarray, pieces: list[bytes], kinds: np.ndarray) -> None:
+        """Slots for new pieces; their hashes are ascending."""
+        order, ids, size = self._fill([p.decode() for p in pieces], kinds.tolist())
+        k, n = self.n, len(keys)
+        data, length = np.frombuffer(b"".join([pieces[i] for i in order]), np.uint8), np.fromiter((len(pieces[i]) for i in order), np.int64, n)
+        while k + n > len(self.size):
+            self.start, self.size, self.kind, self.at, self.length = (np.resize(x, 2 * len(x)) for x in (self.start, self.size, self.kind, self.at, self.length))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
         while self.held + len(data) > len(self.bytes):
             self.bytes = np.resize(self.bytes, 2 * len(self.bytes))
-        self.bytes[self.held : self.held + len(data)] = data
-        self.kind[slots], self.at[slots], self.length[slots] = kinds, self.held + np.cumsum(n) - n, n
-        self.held += len(data)
+        whole, new = np.maximum(size, 0), slice(k, k + n)
+        self.flat[self.used : self.used + len(ids)], self.bytes[self.held : self.held + len(data)] = ids, data
+        self.size[new], self.start[new] = size, self.used + np.cumsum(whole) - whole
+        self.kind[new], self.length[new], self.at[new] = kinds[order], length, self.held + np.cumsum(length) - length
+        self.n, self.used, self.held = k + n, self.used + len(ids), self.held + len(data)
+        slots = np.empty(n, np.int32)
+        slots[order] = np.arange(k, k + n)
+        for level, most in ((1, 1 << 16), (0, 1 << 62)):
+            at = np.searchsorted(self.keys[level], keys)
+            keys, slots = np.insert(self.keys[level], at, keys), np.insert(self.slots[level], at, slots)
+            if len(keys) <= most:
+                self.keys[level], self.slots[level] = keys, slots
+                break
+            self.keys[level], self.slots[level] = keys[:0], slots[:0]
 
     def _others(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray, slot: np.ndarray) -> np.ndarray:
         """Marks the pieces that aren't the one of their slot."""
@@ -77,49 +103,36 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _store(self, key: int, ids) -> None:
-        k = len(self.known)
-        if k == len(self.size):
-            self.start, self.size = np.resize(self.start, 2 * k), np.resize(self.size, 2 * k)
-        n = -1 if ids is None else len(ids)
-        while n > 0 and self.used + n > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        if n > 0:
-            self.flat[self.used : self.used + n] = ids
-        self.known[key], self.start[k], self.size[k] = k, self.used, n
-        self.used += max(n, 0)
-
-    def _fill(self, keys: list[int], pieces: list[str], kinds: list[int]) -> None:
-        """Ids of new pieces. kinds: 0 after a space, 1 first of its text, 2 after a line end (which belongs to it)."""
-        lines: list[tuple[int, str]] = []
-        for key, p, kind in zip(keys, pieces, kinds):
+    def _fill(self, pieces: list[str], kinds: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of the pieces, and in that order their ids end to end and how many each has (-1: unsafe).
+
+        kinds: 0 after a space, 1 first of its text, 2 after a line end (which belongs to it).
+        """
+        lines, others, ids, size = [], [], [], []
+        for i, (p, kind) in enumerate(zip(pieces, kinds)):
+            if kind == 0 and self.line is not None and 0 < len(p) <= LONG_PIECE and p.isprintable() and p[-1] != " " and p[0] != " ":
+                lines.append(i)
+                continue
+            others.append(i)
             if kind == 1 and not p:
-                self._store(key, [])
+                size.append(0)
             elif not p or p[-1].isspace() or (kind != 1 and p[0].isspace()):
-                self._store(key, None)
-            elif kind or self.line is None or len(p) > LONG_PIECE or not p.isprintable():
-                ids = self.whole(" " + p if kind == 0 else p)
-                self._store(key, np.append(np.uint32(self.line or 0), ids) if kind == 2 else ids)
+                size.append(-1)
             else:
-                lines.append((key, p))
-        if not lines:
-            return
-        ids = self.whole("".join(f" {p}\n" for _, p in lines) + " a")
-        ends = np.flatnonzero(ids == self.line)
-        if len(ends) != len(lines):  # a piece has the line's id itself: one at a time
-            for key, p in lines:
-                self._store(key, self.whole(" " + p))
-            return
-        ids, n = np.delete(ids[: ends[-1] + 1], ends), np.diff(ends, prepend=-1) - 1
-        k = len(self.known)
-        while k + len(n) > len(self.size):
-            self.start, self.size = np.resize(self.start, 2 * len(self.size)), np.resize(self.size, 2 * len(self.size))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.size[k : k + len(n)], self.start[k : k + len(n)] = n, self.used + np.cumsum(n) - n
-        self.used += len(ids)
-        self.known.update(zip((key for key, _ in lines), range(k, k + len(n))))
+                own = self.whole(" " + p if kind == 0 else p)
+                ids.append(np.append(np.uint32(self.line or 0), own) if kind == 2 else own)
+                size.append(len(ids[-1]))
+        order, size = np.array(lines + others, np.int64), np.array(size, np.int32)
+        if lines:
+            joined = self.whole("".join(f" {pieces[i]}\n" for i in lines) + " a")
+            ends = np.flatnonzero(joined == self.line)
+            if len(ends) == len(lines):
+                first, n = np.delete(joined[: ends[-1] + 1], ends), np.diff(ends, prepend=-1) - 1
+            else:  # a piece has the line's id itself: one at a time
+                own = [self.whole(" " + pieces[i]) for i in lines]
+                first, n = np.concatenate(own), np.array(list(map(len, own)))
+            ids, size = [first, *ids], np.concatenate((n.astype(np.int32), size))
+        return order, np.concatenate([np.zeros(0, np.uint32), *ids]), size
 
     def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and how many each has; null is empty."""
@@ -143,18 +156,15 @@ class Encoder:
         h[kind == 1] ^= FIRST
         h[kind == 2] ^= AFTER_LINE
         u, at, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > self.cache:
+        if self.n > self.cache:
             self._clear()
-        keys = u.tolist()
-        slots = list(map(self.known.get, keys))
-        if None in slots:
-            miss = [i for i, s in enumerate(slots) if s is None]
+        slots = self._find(u)
+        miss = np.flatnonzero(slots < 0)
+        if len(miss):
             where = at[miss]
-            pieces = [joined[a:b] for a, b in zip(start[where].tolist(), end[where].tolist())]
-            self._fill([keys[i] for i in miss], [p.decode() for p in pieces], kind[where].tolist())
-            slots = list(map(self.known.__getitem__, keys))
-            self._keep(np.array([slots[i] for i in miss]), kind[where], pieces)
-        slot = np.array(slots, np.int64)[back]
+            self._add(u[miss], [joined[a:b] for a, b in zip(start[where].tolist(), end[where].tolist())], kind[where])
+            slots[miss] = self._find(u[miss])
+        slot = slots[back]
         size = self.size[slot].astype(np.int64)
         owner = np.searchsorted(first, np.arange(len(start)), "right") - 1
         unsafe = (size < 0) | self._others(data, start, end, kind, slot)
