@@ -1,7 +1,8 @@
-"""Mapping with insertions and deletions after the seed, in Arrow batches.
+"""Mapping with insertions and deletions after the seed.
 
-Per seed hit and reference, one edit-distance table gives for every read span the least (edits, gaps); the best span is chosen by edits, gaps,
-distance of span and length, span, name. Operations are read back from the table, insertion first, then match, then deletion.
+Per seed hit and reference, one banded edit-distance table gives for every read span the least (edits, gaps); the best span is chosen by edits,
+gaps, distance of span and length, span, name. Operations are read back from the table, insertion first, then match, then deletion. All
+pairs of a batch share one table in numpy (probe.gapped).
 """
 
 from __future__ import annotations
@@ -11,76 +12,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.operators import mapping
+from seqloom.operators import mapping, probe
 
-BIG = 1 << 10
+
+def align_all(windows: list[str], refs: list[str], k: int, m: int):
+    """Places of the pairs that are within m edits, and of those edits, gaps, spans and operations."""
+    out: list[tuple] = []
+    for size in sorted(set(map(len, refs))):
+        own = np.array([i for i, r in enumerate(refs) if len(r) == size])
+        text = np.zeros((len(own), size + m), np.uint8)
+        for row, i in enumerate(own.tolist()):
+            w = windows[i][: size + m].upper().encode()
+            text[row, : len(w)] = np.frombuffer(w, np.uint8)
+        ref = np.frombuffer("".join(refs[i] for i in own.tolist()).encode(), np.uint8).reshape(len(own), size)
+        seed = np.where(text[:, :k] == ord("U"), ord("T"), text[:, :k])
+        head = (seed != ref[:, :k]).sum(1).astype(np.int32)
+        keep, ed, gaps, span, ops = probe.gapped(text, np.array([len(windows[i]) for i in own.tolist()]), ref, k, m, head)
+        out += zip(own[keep].tolist(), ed.tolist(), gaps.tolist(), span.tolist(), ops)
+    return sorted(out)
 
 
 def align(read: str, ref: str, k: int, m: int) -> tuple[int, int, int, str] | None:
     """(edits, gaps, read span, operations) of the best alignment of ref at the read's start; the first k bases aren't gapped."""
-    head = sum(a != b for a, b in zip(read[:k].upper().replace("U", "T"), ref[:k]))
-    tail, rest = read[k : len(ref) + m].upper(), ref[k:]
-    n, w = len(rest), len(tail)
-    # cost[i][j]: from i bases of ref and j of the read to the end of ref, edits * BIG + gaps; span is free
-    span = range(max(0, n - m), min(w, n + m) + 1)
-    best = None
-    for j in span:
-        cost = np.full((n + 1, j + 1), (m + 1) * BIG, np.int64)
-        cost[n, j] = 0
-        for i in range(n, -1, -1):
-            for q in range(j, -1, -1):
-                v = cost[i, q]
-                if q < j:
-                    v = min(v, cost[i, q + 1] + BIG + 1)
-                if i < n:
-                    v = min(v, cost[i + 1, q] + BIG + 1)
-                    if q < j:
-                        v = min(v, cost[i + 1, q + 1] + (BIG if tail[q] != rest[i] else 0))
-                cost[i, q] = v
-        ed, gaps = divmod(int(cost[0, 0]), BIG)
-        key = (ed + head, gaps, abs(k + j - len(ref)), k + j)
-        if ed + head <= m and (best is None or key < best[0]):
-            best = (key, cost)
-    if best is None:
-        return None
-    (ed, gaps, _, total), cost = best
-    ops, i, q, j = "M" * k, 0, 0, total - k
-    while i < n or q < j:
-        if q < j and cost[i, q] == cost[i, q + 1] + BIG + 1:
-            ops, q = ops + "I", q + 1
-        elif i < n and q < j and cost[i, q] == cost[i + 1, q + 1] + (BIG if tail[q] != rest[i] else 0):
-            ops, i, q = ops + "M", i + 1, q + 1
-        else:
-            ops, i = ops + "D", i + 1
-    return ed, gaps, total, ops
+    found = align_all([read], [ref], k, m)
+    return found[0][1:] if found else None
 
 
-def mapped(reads: DataFrame, refs: DataFrame, opt: mapping.Options) -> DataFrame:
-    """read_id, pos, name, ref, ed, gaps, span, ops: the best reference at each start, gaps allowed."""
+def joined(reads: DataFrame, refs: DataFrame, opt: mapping.Options) -> DataFrame:
+    """mapping.matches with indels, for dictionaries that are too large to be broadcast: a join on the seed, then tables in Arrow batches."""
     m, k = opt.max_mm, opt.k
     lo, hi = refs.agg(F.min("ref_len"), F.max("ref_len")).first()
     seeds = mapping.seed_table(refs, opt)
-    hits = mapping.seed_hits(reads, seeds, k, hi + m).where(F.col("pos") + max(0, lo - m) <= F.col("read_len"))
-    packed = seeds.select("seed", "nb", "name", "ref", "ref_len")
-    if refs.count() * (3 * k + 1) <= mapping.BROADCAST_SEEDS:
-        packed = F.broadcast(packed)
-    # an alignment within m edits has a prefix within m edits: the built-in distance prunes before Python
-    near = F.levenshtein(F.substring(F.upper("window"), F.lit(1), F.col("ref_len")), "ref", 2 * m)
-    both = hits.join(packed, "seed").where(near >= 0).select("read_id", "pos", "nb", "name", "ref", "window")
+    hits = mapping.seed_hits(reads, seeds, k, (hi or k) + m).where(F.col("pos") + max(0, (lo or 0) - m) <= F.col("read_len"))
+    packed = seeds.select("seed", "nb", "name", "ref", "ref_len", "is_rc")
+    # an alignment within m edits has a prefix within m edits: the built-in distance prunes before Python; U in the seed is T
+    window = F.concat(F.translate(F.substring(F.upper("window"), 1, k), "U", "T"), F.substring(F.upper("window"), F.lit(k + 1), F.greatest(F.col("ref_len") - k, F.lit(0))))
+    names = [x.split()[0] for x in mapping.FOUND.split(", ")]
+    both = hits.join(packed, "seed").where(F.levenshtein(window, "ref", 2 * m) >= 0).select("read_id", "read_len", "pos", "name", "ref", "ref_len", "is_rc", "nb", "window")
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                if (a := align(r["window"], r["ref"], k, m)) is not None:
-                    rows.append((r["read_id"], r["pos"], r["nb"], r["name"], r["ref"], *a))
-            cols = list(zip(*rows)) or [()] * 9
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=["read_id", "pos", "nb", "name", "ref", "ed", "gaps", "span", "ops"])
-
-    found = both.mapInArrow(run, "read_id long, pos int, nb int, name string, ref string, ed int, gaps int, span int, ops string")
-    key = F.struct("nb", "ed", "gaps", F.abs(F.col("span") - F.length("ref")), "span", "name")
-    return found.groupBy("read_id", "pos").agg(F.min_by(F.struct("name", "ref", "ed", "gaps", "span", "ops"), key).alias("r")).select("read_id", "pos", "r.*")
+            found = align_all(*(batch.column(c).to_pylist() for c in ("window", "ref")), k, m)
+            at, *values = zip(*found) if found else [()] * 5
+            some = batch.take(pa.array(at, pa.int64()))
+            new = dict(zip(("ed", "gaps", "span"), (pa.array(v, pa.int32()) for v in values))) | {"ops": pa.array(values[3], pa.string())}
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else some.column(c) for c in names], names=names)
+
+    return both.mapInArrow(run, mapping.FOUND)
+
+
+def mapped(reads: DataFrame, refs: DataFrame, opt: mapping.Options) -> DataFrame:
+    """The best reference at each start, gaps allowed: the columns of mapping.mapped."""
+    from dataclasses import replace
+
+    return mapping.mapped(reads, refs, replace(opt, indel=True))
 
 
 def cigar_of(ops: str, left: int, right: int, soft: bool = False) -> str:
