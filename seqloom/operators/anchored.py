@@ -17,15 +17,17 @@ class Anchored:
     tagged: DataFrame  #: read_id, tag of every read
 
 
-def expected_length(refs: DataFrame) -> int:
-    row = refs.agg(F.min("ref_len").alias("lo"), F.max("ref_len").alias("hi")).first()
-    if row.lo is None or row.lo != row.hi:
+def expected_length(sizes: DataFrame) -> int:
+    """Of a row with min_len and max_len, as reference_set.lengths gives it."""
+    row = sizes.first()
+    if row.min_len is None or row.min_len != row.max_len:
         raise ValueError("with anchors all references must have one length")
-    return row.lo
+    return row.min_len
 
 
-def mapped(reads: DataFrame, refs: DataFrame, find: anchors.Anchors, opt: mapping.Options) -> Anchored:
-    size = expected_length(refs)
+def mapped(reads: DataFrame, refs: DataFrame, find: anchors.Anchors, opt: mapping.Options, sizes: DataFrame | None = None) -> Anchored:
+    """sizes: reference_set.lengths of all references given, also of those that the dictionary leaves out; by default that of the dictionary."""
+    size = expected_length(refs.agg(F.min("ref_len").alias("min_len"), F.max("ref_len").alias("max_len")) if sizes is None else sizes)
     find = replace(find, min_len=size, max_len=size)
     found = anchors.extracted(reads, find).where(F.col("orientation").isNotNull()).select("read_id", "seq", "insert_start", "insert_len")
     tagged = anchors.tags(reads, find).select("read_id", "tag")

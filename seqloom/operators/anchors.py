@@ -1,12 +1,13 @@
 """Anchor extraction: the part of a read between two known sequences, or beside one.
 
 Exact places are looked for first, whatever errors are allowed; only a read without an exact window is searched with errors. The search with
-errors is one edit-distance table a search, filled a pattern row at a time over all read positions with numpy: a cell holds edits and start as one
+errors is one edit-distance table a hit, filled a pattern row at a time over all read positions with numpy: a cell holds edits and start as one
 number, so that a minimum keeps the earliest start among equal edits, and insertions along the read are a running minimum.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,27 +73,59 @@ def table(text: np.ndarray, pattern: np.ndarray, keep_rows: bool = False):
     return rows if keep_rows else key
 
 
-def near_hits(text: str, pattern: str, max_error: int, start: int) -> list[tuple[int, int, int]]:
-    """(start, end, errors): the earliest start, then fewest errors, nearest length, first end; the next search begins one after it."""
-    letters, want, m = np.frombuffer(text.encode("ascii", "replace"), np.uint8), np.frombuffer(pattern.encode(), np.uint8), len(pattern)
-    out: list = []
-    while len(out) < CAP and start < len(text):
-        key = table(letters[start:], want)[1:]
+class Near:
+    """The places of a pattern with errors, in order of start: the earliest start, then fewest errors, nearest length, first end; the next search
+    begins one after it.
+
+    A search that begins anywhere after one hit and up to the next gives that next hit, as what starts before it has too many errors. So one
+    chain of searches over the text serves all searches, and each hit costs one table.
+    """
+
+    def __init__(self, text: str, pattern: str, max_error: int):
+        self.letters, self.want = np.frombuffer(text.encode("ascii", "replace"), np.uint8), np.frombuffer(pattern.encode(), np.uint8)
+        self.most, self.hits, self.at = min(max_error, len(pattern)), [], 0
+
+    def _more(self) -> bool:
+        if self.at >= len(self.letters):
+            return False
+        key = table(self.letters[self.at :], self.want)[1:]
         errors, begin = key >> 32, key & (BIG - 1)
-        ends = np.flatnonzero(errors <= min(max_error, m))
+        ends = np.flatnonzero(errors <= self.most)
         if not len(ends):
-            break
+            self.at = len(self.letters)
+            return False
         b, e = begin[ends], errors[ends]
-        best = np.lexsort((ends, np.abs(ends + 1 - b - m), e, b))[0]
-        out.append((start + int(b[best]), start + int(ends[best]) + 1, int(e[best])))
-        start = max(out[-1][0], start) + 1
-    return out
+        best = np.lexsort((ends, np.abs(ends + 1 - b - len(self.want)), e, b))[0]
+        self.hits.append((self.at + int(b[best]), self.at + int(ends[best]) + 1, int(e[best])))
+        self.at = self.hits[-1][0] + 1
+        return True
+
+    def after(self, start: int) -> list[tuple[int, int, int]]:
+        """(start, end, errors) of the first CAP hits of a search that begins at start."""
+        out, i = [], bisect_left(self.hits, (start, -1, -1))
+        while len(out) < CAP and start < len(self.letters) and (i < len(self.hits) or self._more()):
+            if self.hits[i][0] >= start:
+                out.append(self.hits[i])
+            i += 1
+        return out
+
+
+def near_hits(text: str, pattern: str, max_error: int, start: int) -> list[tuple[int, int, int]]:
+    return Near(text, pattern, max_error).after(start)
 
 
 def windows(text: str, opt: Anchors, max_error: int | None, limits: tuple[int, int] | None = None):
     """Best (errors, first start, length, insert start, orientation, start hit, end hit); max_error None: exact."""
     lo, hi = limits or (opt.min_len, opt.max_len)
-    find = (lambda p, at: exact_hits(text, p, at)) if max_error is None else (lambda p, at: near_hits(text, p, max_error, at))
+    chains: dict[str, Near] = {}
+
+    def find(pattern: str, at: int) -> list[tuple[int, int, int]]:
+        if max_error is None:
+            return exact_hits(text, pattern, at)
+        if pattern not in chains:
+            chains[pattern] = Near(text, pattern, max_error)
+        return chains[pattern].after(at)
+
     n, found = len(text), []
     if opt.a5 and opt.a3:
         for order, (a, b) in enumerate(((opt.a5, opt.a3), (turned(opt.a3), turned(opt.a5)))):
@@ -155,27 +188,31 @@ def extracted(reads: DataFrame, opt: Anchors) -> DataFrame:
 
 
 def cut(reads: DataFrame, opt: Anchors, check_rc: bool = False) -> DataFrame:
-    """read_id, seq, qual, from_rc of every read that has a window, trimmed to it; reads without a quality of their length are left out.
+    """read_id, seq, qual, from_rc, and name if reads have it, of every read that has a window, trimmed to it; reads without a quality of their
+    length are left out.
 
     With check_rc a read without a window is turned round and tried again.
     """
+    named = ["name"] if "name" in reads.columns else []
 
     def run(batches):
         for batch in batches:
-            out = []
-            for read_id, seq, qual in zip(*(batch.column(c).to_pylist() for c in ("read_id", "seq", "qual"))):
+            out, kept = [], []
+            for i, (seq, qual) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("seq", "qual")))):
                 best, rc = extract(seq, opt), False
                 if best is None and check_rc:
                     seq, qual, rc = turned(seq.upper().replace("U", "T")), qual[::-1], True
                     best = extract(seq, opt)
                 if best is not None:
                     a, b = best[3], best[3] + best[2]
-                    out.append((read_id, seq[a:b], qual[a:b], rc))
-            cols = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.bool_()))], names=["read_id", "seq", "qual", "from_rc"])
+                    out.append((seq[a:b], qual[a:b], rc))
+                    kept.append(i)
+            cols = [pa.array(list(c), t) for c, t in zip(list(zip(*out)) or [()] * 3, (pa.string(), pa.string(), pa.bool_()))]
+            own = [batch.column(c).take(pa.array(kept, pa.int64())) for c in ("read_id", *named)]
+            yield pa.RecordBatch.from_arrays([own[0], *cols, *own[1:]], names=["read_id", "seq", "qual", "from_rc", *named])
 
-    good = reads.where(F.length("qual") == F.length("seq")).select(F.col("read_id").cast("long").alias("read_id"), "seq", "qual")
-    return good.mapInArrow(run, "read_id long, seq string, qual string, from_rc boolean")
+    good = reads.where(F.length("qual") == F.length("seq")).select(F.col("read_id").cast("long").alias("read_id"), "seq", "qual", *named)
+    return good.mapInArrow(run, "read_id long, seq string, qual string, from_rc boolean" + ", name string" * bool(named))
 
 
 def insert_counts(trimmed: DataFrame) -> DataFrame:
@@ -195,19 +232,25 @@ def cut_stats(reads: DataFrame, trimmed: DataFrame) -> DataFrame:
 
 def anchor_md(read: str, anchor: str) -> str:
     """MD-like text of a global alignment: a match or substitution unless an insertion, then a deletion, is strictly better."""
+    if read == anchor:
+        return str(len(anchor))
     n, m = len(anchor), len(read)
-    cost = np.zeros((n + 1, m + 1), np.int64)
-    cost[:, 0], cost[0, :] = np.arange(n + 1), np.arange(m + 1)
-    back = np.full((n + 1, m + 1), 2, np.int8)
-    back[0, 1:] = 1
+    letters, steps = np.frombuffer(read.encode("ascii", "replace"), np.uint8), np.arange(m + 1)
+    cost = np.empty((n + 1, m + 1), np.int64)
+    cost[0] = steps
+    differ = np.frombuffer(anchor.encode("ascii", "replace"), np.uint8)[:, None] != letters
     for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            options = (cost[i - 1, j - 1] + (read[j - 1] != anchor[i - 1]), cost[i, j - 1] + 1, cost[i - 1, j] + 1)
-            back[i, j] = options.index(min(options))
-            cost[i, j] = min(options)
+        cost[i, 0] = i
+        cost[i, 1:] = np.minimum(cost[i - 1, :-1] + differ[i - 1], cost[i - 1, 1:] + 1)
+        cost[i] = np.minimum.accumulate(cost[i] - steps) + steps  # insertions along the read
     i, j, ops = n, m, []
     while i or j:
-        o = back[i, j] if i else 1
+        if i and j and cost[i, j] == cost[i - 1, j - 1] + differ[i - 1, j - 1]:
+            o = 0
+        elif j and (not i or cost[i, j] == cost[i, j - 1] + 1):
+            o = 1
+        else:
+            o = 2
         ops.append("MID"[o])
         i, j = i - (o != 1), j - (o != 2)
     from seqloom.operators.indels import md_of

@@ -163,3 +163,188 @@ def test_counting_with_anchors(spark):
     assert [x[5] for x in lines] == ["5H6M5H", "5H6M10H"] and lines[0][-1] == "ZA:Z:ori=FWD;ins=6,6;ast=5:pass,3:pass;a5=2-5,ed=0,md=4;a3=12-15,ed=0,md=4"
     with pytest.raises(ValueError):
         anchored.mapped(reads, refs_of(spark, [("a", "AACAGG"), ("c", "GTTTGAA")]), find, mapping.Options(4))
+
+
+def brute_alignment(read, ref, k, m):
+    """(edits, gaps, span, operations) of the best alignment, by trying every span with a table of its own."""
+    from functools import cache
+
+    head = sum(a != b for a, b in zip(read[:k], ref[:k]))
+    best = None
+    for span in range(max(k, len(ref) - m), min(len(read), len(ref) + m) + 1):
+        tail, rest = read[k:span], ref[k:]
+
+        @cache
+        def cost(i, j, tail=tail, rest=rest):
+            """(edits, gaps, operations) from there to the end: insertion first, then match, then deletion."""
+            if i == len(rest) and j == len(tail):
+                return 0, 0, ""
+            found = []
+            for rank, (op, di, dj) in enumerate((("I", 0, 1), ("M", 1, 1), ("D", 1, 0))):
+                if i + di <= len(rest) and j + dj <= len(tail):
+                    e, g, ops = cost(i + di, j + dj)
+                    found.append((e + (op != "M" or tail[j] != rest[i]), g + (op != "M"), rank, op + ops))
+            e, g, _, ops = min(found)
+            return e, g, ops
+
+        e, g, ops = cost(0, 0)
+        key = (e + head, g, abs(span - len(ref)), span)
+        if key[0] <= m and (best is None or key < best[:4]):
+            best = (*key, "M" * k + ops)
+    return best and (best[0], best[1], best[3], best[4])
+
+
+def test_indels_against_brute_force():
+    rng = random.Random(4)
+    pairs = []
+    for _ in range(400):
+        ref = "".join(rng.choice("ACGT") for _ in range(rng.choice([5, 8, 12])))
+        read = list(ref[4:])
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(read) + 1)
+            read[at : at + rng.randrange(2)] = rng.choice(["", "A", "C", "GT"])
+        pairs.append((ref[:4] + "".join(read) + "".join(rng.choice("ACGT") for _ in range(rng.randrange(4))), ref))
+    for m in (0, 1, 3):
+        got = {i: tuple(x) for i, *x in indels.align_all([a for a, _ in pairs], [b for _, b in pairs], 4, m)}
+        assert got == {i: b for i, (read, ref) in enumerate(pairs) if (b := brute_alignment(read, ref, 4, m))}
+
+
+@pytest.mark.parametrize("opt", [mapping.Options(4, 0, 2), mapping.Options(4, 1, 2), mapping.Options(4, 0, 2, indel=True), mapping.Options(4, 1, 1, indel=True)])
+def test_large_dictionaries_give_the_same(spark, monkeypatch, opt):
+    rng = random.Random(5)
+    rows = [(f"r{i}", "".join(rng.choice("ACGT") for _ in range(rng.choice([7, 9])))) for i in range(9)]
+    seqs = [("".join(rng.choice([rng.choice("ACGTUN"), *(r for _, r in rows)]) for _ in range(20)), None) for _ in range(20)]
+    seqs = [(s.replace(rows[j % 9][1][5:], "") if j % 4 == 0 else s.lower() if j % 4 == 1 else s, "".join(rng.choice("IJK") for _ in s) if j % 3 else None) for j, (s, _) in enumerate(seqs)] + [("", ""), (None, None), ("CCCCC", "IIIII")]
+    reads, refs = reads_of(spark, seqs), refs_of(spark, rows)
+    small, few = mapping.mapped(reads, refs, opt, "part").collect(), mapping.missed(reads, refs, opt).collect()
+    whole = sam.mapped(mapping.with_nh(mapping.mapped(reads, refs, opt, "all")), soft=True).collect()
+    monkeypatch.setattr(mapping, "BROADCAST_SEEDS", 0)
+    cut = lambda rows: sorted(str({k: v for k, v in r.asDict().items() if k != "window"}) for r in rows)
+    assert small and few
+    assert cut(small) == cut(mapping.mapped(reads, refs, opt, "part").collect())
+    assert cut(few) == cut(mapping.missed(reads, refs, opt).collect())
+    assert cut(whole) == cut(sam.mapped(mapping.with_nh(mapping.mapped(reads, refs, opt)), reads, soft=True).collect())
+
+
+def test_mapping_with_indels_against_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(f"r{i}", "".join(rng.choice("ACGT") for _ in range(8))) for i in range(6)]
+    seqs = ["".join(rng.choice([rng.choice("ACGT"), rows[rng.randrange(6)][1], rows[rng.randrange(6)][1][:5]]) for _ in range(20)) for _ in range(10)]
+    got = {(r.read_id, r.pos): (r.name, r.ed, r.gaps, r.span, r.ops) for r in indels.mapped(reads_of(spark, seqs), refs_of(spark, rows, add_rc=False), mapping.Options(4, 0, 2)).collect()}
+    want = {}
+    for i, s in enumerate(seqs):
+        for p in range(len(s) - 3):
+            found = [(b[0], b[1], abs(b[2] - 8), b[2], n, b[3]) for n, r in rows if s[p : p + 4] == r[:4] and len(s) - p >= 6 and (b := brute_alignment(s[p : p + 10], r, 4, 2))]
+            if found:
+                e, g, _, span, n, ops = min(found)
+                want[i, p] = (n, e, g, span, ops)
+    assert got == want
+
+
+def test_rows_of_indels(spark):
+    refs = refs_of(spark, [("a", "ACGTAGGCATTC")], add_rc=False)
+    reads = reads_of(spark, [("TTACGTAGGATTCAA", "ABCDEFGHIJKLMNO"), ("ACGTAGGCCATTC", None)])
+    found = mapping.with_nh(mapping.mapped(reads, refs, mapping.Options(4, 0, 1, indel=True), "part"))
+    lines = [r.line.split("\t") for r in sam.mapped(found).orderBy("read_id").collect()]
+    assert lines[0][5] == "2H7M1D4M2H" and lines[0][9:11] == ["ACGTAGGATTC", "CDEFGHIJKLM"] and lines[0][11:] == ["NM:i:1", "MD:Z:7^C4"]
+    assert lines[1][5] == "7M1I5M" and lines[1][10:] == ["*", "NM:i:1", "MD:Z:12"]
+
+
+def test_nearby_collapse_against_all_kept_starts(spark):
+    rng = random.Random(7)
+    rows = []
+    for read in range(6):
+        for name in ("a", "b"):
+            for p in sorted(rng.sample(range(200), 60)):
+                rows.append((read, p, name, rng.randrange(4), 250, "ACGT", 4, False, rng.randrange(2), 4 + rng.randrange(-1, 2), "M", ""))
+    best = spark.createDataFrame(rows, "read_id long, pos int, name string, ed int, read_len int, ref string, ref_len int, is_rc boolean, gaps int, span int, ops string, window string").repartition(3)
+    for m in (2, 3, 5):
+        want = []
+        for key in sorted({(r[0], r[2]) for r in rows}):
+            kept: list = []
+            for r in (r for r in rows if (r[0], r[2]) == key):
+                rank = lambda x: (x[3], x[8], abs(x[9] - 4), x[1])
+                slot = next((i for i, x in enumerate(kept) if abs(x[1] - r[1]) <= m - 1), None)
+                if slot is None:
+                    kept.append(r)
+                elif rank(r) < rank(kept[slot]):
+                    kept[slot] = r
+            want += [(*key, x[1], x[3]) for x in kept]
+        assert sorted((r.read_id, r.name, r.pos, r.ed) for r in mapping.collapsed(best, m).collect()) == sorted(want)
+
+
+def test_unmapped_rows(spark):
+    reads = reads_of(spark, [("ACGT", "IIII"), ("ACG", "II"), ("AC", None)]).withColumn("name", F.concat("name", F.lit("/rc")))
+    rows = [r.line.split("\t") for r in sam.unmapped(reads).orderBy("read_id").collect()]
+    assert [(r[0], r[9], r[10]) for r in rows] == [("read0", "ACGT", "IIII"), ("read1", "ACG", "*"), ("read2", "AC", "*")]
+    assert [r.line.split("\t")[0] for r in sam.unmapped(reads, spark.createDataFrame([(0,), (0,)], "read_id long")).collect()] == ["read1", "read2"]
+
+
+def brute_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def brute_near(text, pattern, most, start):
+    """Places with errors, by the distance of every part of the text."""
+    out = []
+    while len(out) < anchors.CAP and start < len(text):
+        ends = []
+        for e in range(start + 1, len(text) + 1):
+            d, b = min((brute_distance(text[b:e], pattern), b) for b in range(start, e + 1))
+            if d <= min(most, len(pattern)):
+                ends.append((b, d, abs(e - b - len(pattern)), e))
+        if not ends:
+            break
+        b, d, _, e = min(ends)
+        out.append((b, e, d))
+        start = b + 1
+    return out
+
+
+def test_anchors_with_errors_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(60):
+        a5, a3 = ("".join(rng.choice("ACGT") for _ in range(rng.choice([3, 4]))) for _ in range(2))
+        text = "".join(rng.choice([rng.choice("ACGT"), rng.choice("ACGT"), a5, a3, anchors.turned(a3)]) for _ in range(10))[:26]
+        most = rng.choice([1, 2])
+        near = {p: anchors.Near(text, p, most) for p in (a5, a3)}
+        for start in rng.sample(range(len(text)), 4):
+            for p in (a5, a3):
+                assert near[p].after(start) == brute_near(text, p, most, start)
+        opt = anchors.Anchors(a5, a3, most, 1, 9)
+        found = []
+        for order, (a, b) in enumerate(((a5, a3), (anchors.turned(a3), anchors.turned(a5)))):
+            best = None
+            for s in brute_near(text, a, most, 0):
+                for e in brute_near(text, b, most, s[1]) if s[1] < len(text) else []:
+                    if 1 <= e[0] - s[1] <= 9:
+                        c = (s[2] + e[2], s[0], e[0] - s[1], s[1], order, s, e)
+                        best = c if best is None or c[:4] < best[:4] else best
+            found += [best] if best else []
+        assert anchors.windows(text, opt, most) == min(found, key=lambda c: c[:5], default=None)
+
+
+def test_anchor_md_against_loops():
+    rng = random.Random(9)
+    for _ in range(300):
+        anchor = "".join(rng.choice("ACGT") for _ in range(rng.randrange(1, 9)))
+        read = "".join(rng.choice([c, c, c, "", rng.choice("ACGT"), c + "A"]) for c in anchor)
+        n, m = len(anchor), len(read)
+        cost = [[i + j if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
+        for i in range(1, n + 1):
+            for j in range(1, m + 1):
+                cost[i][j] = min(cost[i - 1][j - 1] + (read[j - 1] != anchor[i - 1]), cost[i][j - 1] + 1, cost[i - 1][j] + 1)
+        i, j, ops = n, m, ""
+        while i or j:
+            if i and j and cost[i][j] == cost[i - 1][j - 1] + (read[j - 1] != anchor[i - 1]):
+                i, j, ops = i - 1, j - 1, "M" + ops
+            elif j and (not i or cost[i][j] == cost[i][j - 1] + 1):
+                j, ops = j - 1, "I" + ops
+            else:
+                i, ops = i - 1, "D" + ops
+        assert anchors.anchor_md(read, anchor) == indels.md_of(ops, read, anchor)
