@@ -152,12 +152,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.0) -> DataFrame:
-    """The documents whose language was found (not `und`) with at least min_score; all columns stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The documents whose language was found (not `und`) with at least min_score; all columns stay. A null lang becomes the language found."""
+    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def run(batches):
         for batch in batches:
-            langs, scores = shared.value.predict(common.texts(batch))
-            yield batch.filter(pa.array([lang != "und" and s >= min_score for lang, s in zip(langs, scores)], pa.bool_()))
+            langs, scores = shared.value.predict(batch.column(names.index("text")).to_pylist())
+            cols = list(batch.columns)
+            if "lang" in names:
+                i = names.index("lang")
+                cols[i] = pa.array([x if x is not None or lang == "und" else lang for x, lang in zip(cols[i].to_pylist(), langs)], cols[i].type)
+            filled = pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+            yield filled.filter(pa.array([lang != "und" and s >= min_score for lang, s in zip(langs, scores)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -9,8 +9,9 @@ kept as ranges with a common residual, and a step places as many pieces of a len
 for each length (1,024 rows); the plan, a table of (length, ranks) to (bins, offset), is bounded by lengths and ranges, not by
 documents. Each piece then finds its place from its rank within its length.
 
-Defined results: a null text is empty and packs as its end id alone; repeated rows are packed each; a document over the
-capacity is cut into whole-capacity pieces, the first piece taking the rest; an empty table gives no rows.
+Defined results: a null text is empty and packs as its end id alone; repeated rows are packed each, as are documents with a null or one doc_id; a
+document over the capacity is cut into whole-capacity pieces, the first piece taking the rest, however long it is; of bins with one value the first opened
+is filled first; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

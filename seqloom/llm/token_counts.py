@@ -6,7 +6,8 @@ characters and tokens below them. An edit (start, end, new text; code points) de
 touches, joins to them the neighbours whose boundary the edit may have moved, encodes only those again and updates the sums on
 the path to the root.
 
-Defined results: a null text is empty and has 0 tokens; edits outside the text are cut to it; an empty table gives no rows.
+Defined results: a null text is empty and has 0 tokens; edits outside the text are cut to it; repeated rows, and documents with a null or one doc_id,
+are counted each; very long texts are taken whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

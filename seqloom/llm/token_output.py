@@ -10,7 +10,8 @@ the coded bytes into doc_id ranges and writes a file for each range. A
 file is written under a name of its own attempt, and only files that the job returns are listed, so lost executors do no harm.
 
 Defined results: a null text is empty and has the end id alone; documents with one doc_id or a null one stay next to each
-other, nulls first, equal ids in order of length and coded bytes; an empty table gives no files and no rows.
+other, nulls first, equal ids in order of length and coded bytes; repeated rows are written each; ids that occur equally often are ranked by their number;
+very long texts are taken whole; an empty table gives no files and no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -8,13 +8,14 @@ adjacent violators, with linear interpolation so that scores keep their order.
 The labels are a bounded sample: about PER_CLASS documents of each label; weights restore the shares of all labels.
 
 Defined results: a null or empty text has all features 0 and gets a score too; without labels of both kinds every score is the share
-of label 1 (0 without labels). Repeated labels of a document count once, the larger one. Very long texts are taken whole.
+of label 1 (0 without labels). Repeated labels of a document count once, the larger one; labels of a repeated doc_id hold for each of its rows, and a null
+one is never learned from. Repeated rows are scored alike; splits with equal gains go to the first feature and threshold, margins that are equal share
+a calibration block. Very long texts are taken whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -229,7 +230,3 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return work
 
     return common.map_batches(docs.select("doc_id", common.held(0, 5).alias("held_out"), "text"), make, schema("doc_id long, held_out boolean, score double, predicted int"))
-
-
-def crc_mod(doc_id: object, m: int) -> int:
-    return zlib.crc32(str(doc_id).encode()) % m

@@ -106,6 +106,8 @@ def test_language_id(spark):
     got = {r.doc_id: r for r in language_id.identify(docs, language_id.train(docs)).collect()}
     assert all(got[i].lang_pred == langs[i] and 0 <= got[i].score <= 1 for i in range(80))
     assert got[80].lang_pred == got[81].lang_pred == "und"
+    kept = language_id.keep_identified(docs.withColumn("lang", F.when(F.col("doc_id") % 3 != 0, F.col("lang"))), language_id.train(docs))
+    assert {r.doc_id: r.lang for r in kept.collect()} == {i: langs[i] for i in range(80)}
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
 
 
