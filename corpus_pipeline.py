@@ -1,8 +1,12 @@
 """The corpus pipeline: language ID, near-duplicates, decontamination, personal data, packing.
 
 Each stage gets the session, the documents that the stage before it kept, and the folder of the tables; all but the last return the
-columns of documents. Documents whose language isn't found (`und`) go, one document of each near-duplicate class stays (the smallest
-doc_id), benchmark passages are cut out (a text mostly of them goes), personal data is masked, and what is left is packed.
+columns of documents. Documents whose language isn't found (`und`) go, and a null lang becomes the language found; one document of each near-duplicate class stays (the smallest
+doc_id), benchmark passages are cut out (a text mostly of them goes), personal data is masked, and what is left is packed, at most
+DOCS_IN_SEQUENCE documents in a sequence.
+
+Defined results: null texts have no language and go at the first stage; null and repeated doc_ids are kept as the stages' modules say; very long texts are
+taken whole; extra columns pass through all stages but the last; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -12,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from seqloom.llm import common, decontamination, language_id, near_duplicates, packing, personal_data
 
 
+DOCS_IN_SEQUENCE = 64
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.keep_identified(docs, language_id.train(docs))
 
@@ -29,7 +36,7 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, max_docs=DOCS_IN_SEQUENCE)
 
 
 STAGES = [

@@ -48,7 +48,7 @@ def lookup(refs: DataFrame, wanted: DataFrame) -> DataFrame:
 def starting_with(refs: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Prefix lookup, as an equi-join for each prefix length that occurs (column prefix)."""
     sizes = [r.n for r in prefixes.select(F.length("prefix").alias("n")).distinct().collect()]
-    parts = [refs.join(F.broadcast(prefixes.where(F.length("prefix") == n)), F.substring("ref", 1, n) == F.col("prefix")) for n in sizes]
+    parts = [refs.join(prefixes.where(F.length("prefix") == n), F.substring("ref", 1, n) == F.col("prefix")) for n in sizes]
     out = parts[0] if parts else refs.withColumn("prefix", F.lit("")).limit(0)
     for p in parts[1:]:
         out = out.unionByName(p)
