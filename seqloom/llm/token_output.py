@@ -5,12 +5,12 @@ document's id (i64) and number of ids (u32), then control bytes (2 bits an id: i
 begins a byte), then the data bytes, little-endian. `ranks.bin` beside the files holds the id of each rank (u32). Decoding looks up the four lengths of a control
 byte in a table and gathers all ids of a block with numpy.
 
-Texts are encoded once, into a table of ids in the shared folder. One pass over it counts ids; a second codes each document by rank, deals
-the coded bytes into doc_id ranges and writes a file for each range. A
+Texts are encoded once, into a table of ids in the shared folder. One pass over it counts ids; a second deals the documents into ranges of
+(doc_id, hash of the ids), by a sample that Spark takes, codes them by rank and writes each range as files of about FILE_IDS ids. A
 file is written under a name of its own attempt, and only files that the job returns are listed, so lost executors do no harm.
 
 Defined results: a null text is empty and has the end id alone; documents with one doc_id or a null one stay next to each
-other, nulls first, equal ids in order of length and coded bytes; repeated rows are written each; ids that occur equally often are ranked by their number;
+other, nulls first, and are in order of a hash of their ids, so that many of them are no task's alone; repeated rows are written each; ids that occur equally often are ranked by their number;
 very long texts are taken whole; an empty table gives no files and no rows; other columns, whatever their names, are ignored.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql.types import _parse_datatype_string as schema
 
 from . import common, tokens
 
-END_ID, MAGIC, BLOCK_IDS, FILE_IDS = 2, 0x314B4F54, 1 << 19, 16_000_000
+END_ID, MAGIC, BLOCK_IDS, FILE_IDS = 2, 0x314B4F54, 1 << 19, 64_000_000
 NULL_ID = -(1 << 63)
 
 # ---- coding
@@ -149,22 +149,14 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
         f.write(id_of.tobytes())
     shared = spark.sparkContext.broadcast(rank)
 
-    def code(batches):
-        for batch in batches:
-            n, control, data = [], [], []
-            for ids, width in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist()):
-                ids = np.frombuffer(ids, f"<u{width}")
-                c, d = pack(shared.value[ids])
-                n.append(len(ids)), control.append(c), data.append(d)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=["doc_id", "n", "control", "data"])
-
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = common.id_ranges(table, max(4 * tasks, -(-int(counts.sum()) // file_ids)))
-    coded = table.mapInArrow(code, "doc_id long, n long, control binary, data binary").withColumn("r", common.in_range("doc_id", cuts))
-    df = coded.repartition("r").sortWithinPartitions("r", F.col("doc_id").asc_nulls_first(), "n", "data")
+    keys = [F.col("doc_id").asc_nulls_first(), "h"]
+    df = table.withColumn("h", F.xxhash64("ids")).repartitionByRange(4 * tasks, *keys).sortWithinPartitions(*keys, "ids")
 
     def run(batches):
-        out, name, f, n, waiting, size, now = [], "", None, 0, [], 0, None
+        from pyspark import TaskContext
+
+        part, out, name, f, n, waiting, size = TaskContext.get().partitionId(), [], "", None, 0, [], 0
         fs, at = storage(folder)
 
         def flush():
@@ -174,27 +166,30 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
                 waiting, size = [], 0
 
         def close():
+            nonlocal f, n
             flush()
             f.close()
-            out.append((now, name, n))
+            out.append((part, len(out), name, n))
+            f, n = None, 0
 
         for batch in batches:
-            for r, doc_id, k, control, data in zip(*(batch.column(c).to_pylist() for c in ("r", "doc_id", "n", "control", "data"))):
-                if r != now:
-                    if f is not None:
-                        close()
-                    now, name, n = r, f"part-{r:08d}-{uuid.uuid4().hex}.bin", 0
+            for doc_id, ids, width in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "width"))):
+                ids = np.frombuffer(ids, f"<u{width}")
+                if f is None:
+                    name = f"part-{part:08d}-{len(out):06d}-{uuid.uuid4().hex}.bin"
                     f = fs.open_output_stream(f"{at}/{name}")
-                waiting.append((NULL_ID if doc_id is None else doc_id, k, control, data))
-                n, size = n + k, size + k
+                waiting.append((NULL_ID if doc_id is None else doc_id, len(ids), *pack(shared.value[ids])))
+                n, size = n + len(ids), size + len(ids)
                 if size >= BLOCK_IDS:
                     flush()
+                if n >= file_ids:
+                    close()
         if f is not None:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["r", "name", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64()))], names=["r", "k", "name", "n"])
 
     files, start = [], 0
-    for r in sorted(df.mapInArrow(run, "r long, name string, n long").collect()):
+    for r in sorted(df.select("doc_id", "ids", "width").mapInArrow(run, "r long, k long, name string, n long").collect()):
         files.append((r.name, start, r.n))
         start += r.n
     return files
