@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import dna
-from seqloom.operators import anchored, anchors, indels, mapping, reference_set, sam, statistics
+from seqloom.operators import anchored, anchors, indels, mapping, prototype, reference_set, sam, statistics
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BASES = "".join("ACGT"[i % 26 % 4] for i in range(52))
@@ -148,10 +148,15 @@ def alignment_counts(spark, sf_dir):
     return statistics.counts(alignment_table(spark, sf_dir), d)
 
 
-def read_ref_cache(spark, sf_dir):
-    """The references of each read, joined by semicolons."""
-    names = mapping.hit_names(mapping.mapped(reads(spark, sf_dir), refs(spark, sf_dir), mapping.Options(K, 0, 1)))
-    return names.groupBy(F.concat(F.lit("r"), F.col("read_id").cast("string")).alias("seq_id")).agg(F.concat_ws(";", F.sort_array(F.collect_set("name"))).alias("ref_id"))
+def prototype_counts(spark, sf_dir):
+    raw = raw_refs(spark, sf_dir)
+    return prototype.counts(prototype.names(reads(spark, sf_dir), raw), raw)
+
+
+def prototype_cache(spark, sf_dir):
+    """The reads of each reference, joined by semicolons."""
+    raw, r = raw_refs(spark, sf_dir), reads(spark, sf_dir)
+    return prototype.cache(prototype.names(r, raw), r, raw)
 
 
 A5, A3 = "GATTACA", "CCTGAAC"
@@ -231,7 +236,8 @@ QUERIES = {
     "sam_all": sam_all,
     "alignment_stats": alignment_stats,
     "alignment_counts": alignment_counts,
-    "read_ref_cache": read_ref_cache,
+    "prototype_counts": prototype_counts,
+    "prototype_cache": prototype_cache,
     "count_with_anchors": count_with_anchors,
     "cut_check_rc": cut_check_rc,
     "total_hits_summary": total_hits,
@@ -398,7 +404,8 @@ n AS (SELECT (SELECT count(*) FROM best) + (SELECT count(*) FROM reads WHERE rea
 SELECT alignment_count, multimapped, read, unmapped_mate, not_proper_pair, exact_match, mapped, read AS unpaired, 100.0::DOUBLE * mapped / read AS mapped_percent, CASE WHEN mapped > 0 THEN 100.0::DOUBLE * exact_match / mapped ELSE 0 END AS exact_match_percent FROM n""",
     "alignment_counts": _map(1) + """, rows AS (SELECT regexp_replace(name, '/rc$', '') AS name FROM best QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY pos) = 1)
 SELECT r.key, CAST(coalesce(n.n, 0) AS BIGINT) AS count FROM (SELECT DISTINCT regexp_replace(name, '/rc$', '') AS key FROM refs) r LEFT JOIN (SELECT name AS key, count(*) AS n FROM rows GROUP BY name) n USING (key)""",
-    "read_ref_cache": _map(1) + "SELECT 'r' || read_id AS seq_id, string_agg(name, ';' ORDER BY name) AS ref_id FROM names GROUP BY read_id",
+    "prototype_counts": _map(0) + "SELECT r.name AS key, r.ref, CAST((SELECT count(*) FROM names WHERE names.name IN (r.name, r.name || '/rc')) AS BIGINT) AS count FROM refs r WHERE NOT is_rc",
+    "prototype_cache": _map(0) + "SELECT r.name AS seq_id, coalesce(string_agg(DISTINCT 'r' || n.read_id, ';' ORDER BY 'r' || n.read_id), '') AS ref_id FROM refs r LEFT JOIN names n ON n.name IN (r.name, r.name || '/rc') WHERE NOT is_rc GROUP BY r.name",
     "count_with_anchors": _map(1).replace(",\nkset AS", f""",
 numbered AS (SELECT row_number() OVER (ORDER BY name) - 1 AS i, ref FROM refs),
 put AS (SELECT read_id, substr(seq, 1, 10) || '{A5}' || CASE WHEN read_id % 3 = 0 THEN substr(ref, 1, read_id % {SIZE}) || translate(substr(ref, read_id % {SIZE} + 1, 1), 'ACGT', 'CGTA') || substr(ref, read_id % {SIZE} + 2) ELSE ref END || '{A3}' || substr(seq, 11) AS seq

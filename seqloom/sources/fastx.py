@@ -141,15 +141,15 @@ def write_counts(counted: DataFrame, path: str) -> None:
     counted.coalesce(1).write.option("header", True).csv(path)
 
 
-def write_hits(counted: DataFrame, refs: DataFrame, path: str) -> None:
-    """Tab-separated name, sequence and number of reads of each reference (key, count and name, ref), largest number first."""
-    rows = counted.join(refs.select(F.col("name").alias("key"), "ref"), "key").orderBy(F.desc("count"), "key")
+def write_hits(counted: DataFrame, path: str) -> None:
+    """Tab-separated name, sequence and number of reads of each reference (prototype.counts), largest number first."""
+    rows = counted.orderBy(F.desc("count"), "key")
     rows.select(F.col("key").alias("Sequence_Name"), F.col("ref").alias("Sequence"), F.col("count").alias("Read_Count")).coalesce(1).write.option("header", True).option("sep", "\t").csv(path)
 
 
-def write_cache(names: DataFrame, path: str) -> None:
-    """CSV of each read (seq_id) and its references (ref_id), joined by semicolons."""
-    names.select(F.col("seq_id").alias("Seq_Id"), F.col("ref_id").alias("Ref_Id")).write.option("header", True).csv(path)
+def write_cache(rows: DataFrame, path: str) -> None:
+    """CSV of each reference and its reads (prototype.cache)."""
+    rows.select(F.col("seq_id").alias("Seq_Id"), F.col("ref_id").alias("Ref_Id")).write.option("header", True).option("emptyValue", "").csv(path)
 
 
 def write_sam(header: DataFrame, rows: DataFrame, path: str) -> None:

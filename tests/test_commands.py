@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import statistics
+from seqloom.operators import prototype, statistics
 from seqloom.plans import commands
 from seqloom.sources import fastx
 
@@ -137,12 +137,13 @@ def test_alignment_statistics(spark, tmp_path):
 
 
 def test_tables_of_hits(spark, tmp_path):
-    counted = spark.createDataFrame([("a", 1), ("b", 5)], "key string, count long")
-    refs = spark.createDataFrame([("a", "AC"), ("b", "GT")], "name string, ref string")
-    fastx.write_hits(counted, refs, str(tmp_path / "hits"))
-    assert folder(tmp_path / "hits") == ["Sequence_Name\tSequence\tRead_Count", "b\tGT\t5", "a\tAC\t1"]
-    fastx.write_cache(spark.createDataFrame([("r1", "a;b")], "seq_id string, ref_id string").coalesce(1), str(tmp_path / "cache"))
-    assert folder(tmp_path / "cache") == ["Seq_Id,Ref_Id", "r1,a;b"]
+    raw = spark.createDataFrame([("a", "AACAGGTCTTGA", 0), ("b", "GTTTGACCAAAC", 1), ("c", "CCCCCCCCCCCC", 2)], "name string, seq string, ord long")
+    reads = spark.createDataFrame([(0, "x", "TTAACAGGTCTTGAC"), (1, "y", "TCAAGACCTGTT"), (2, "z", "GTTTGACCAAACAACAGGTCTTGA"), (3, "w", "AACAGGTCTTGG")], "read_id long, name string, seq string")
+    hits = prototype.names(reads, raw)
+    fastx.write_hits(prototype.counts(hits, raw), str(tmp_path / "hits"))
+    assert folder(tmp_path / "hits") == ["Sequence_Name\tSequence\tRead_Count", "a\tAACAGGTCTTGA\t3", "b\tGTTTGACCAAAC\t1", "c\tCCCCCCCCCCCC\t0"]
+    fastx.write_cache(prototype.cache(hits, reads, raw).orderBy("seq_id").coalesce(1), str(tmp_path / "cache"))
+    assert folder(tmp_path / "cache") == ["Seq_Id,Ref_Id", "a,x;y;z", "b,z", "c,"]
 
 
 def test_streaming_counts(spark, tmp_path):

@@ -348,3 +348,14 @@ def test_anchor_md_against_loops():
             else:
                 i, ops = i - 1, "D" + ops
         assert anchors.anchor_md(read, anchor) == indels.md_of(ops, read, anchor)
+
+
+def test_empty_tables(spark):
+    refs, none = refs_of(spark, [("a", "ACGTAC")]), spark.createDataFrame([], "read_id long, name string, seq string, qual string")
+    empty = refs.limit(0)
+    reads = reads_of(spark, [("ACGTACGT", "I" * 8), (None, None)])
+    for opt in (mapping.Options(4, 1, 1), mapping.Options(4, 0, 1, indel=True)):
+        assert mapping.mapped(none, refs, opt).count() == 0 and mapping.missed(none, refs, opt).count() == 0
+        assert mapping.mapped(reads, empty, opt, "all").count() == 0 and mapping.missed(reads, empty, opt).count() == 2
+    assert mapping.counts(mapping.hit_names(mapping.mapped(none, refs, mapping.Options(4))), refs).first()["count"] == 0
+    assert mapping.collapsed(mapping.mapped(none, refs, mapping.Options(4, 0, 3)), 3).count() == 0
