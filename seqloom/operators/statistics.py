@@ -47,6 +47,23 @@ def expanded_md(md: Column) -> Column:
     return F.array_join(F.transform(items, one), "")
 
 
+def adjusted(cigar: Column, md: Column, first: Column, last: Column) -> Column:
+    """The operations of a stretch of the reference, from base first (0: where the alignment starts) to before last: an I for each insertion, else the MD letter.
+
+    Insertions in the stretch, or up to a base after it, lengthen it by one each.
+    """
+    start = F.struct(F.lit(0).alias("c"), last.cast("int").alias("end"), F.lit("").alias("out"), F.lit(0).alias("i"))
+    letters = expanded_md(md)
+
+    def step(acc, op):
+        inside, insert = (acc["c"] <= acc["end"] + 1) & (op != ""), op == "I"
+        one = F.when(insert, F.lit("I")).otherwise(F.substring(letters, acc["i"] + 1, F.lit(1)))
+        more = F.struct((acc["c"] + 1).alias("c"), (acc["end"] + insert.cast("int")).alias("end"), F.concat(acc["out"], one).alias("out"), (acc["i"] + (~insert).cast("int")).alias("i"))
+        return F.when(inside, more).otherwise(F.struct((acc["end"] + 2).alias("c"), acc["end"].alias("end"), acc["out"].alias("out"), acc["i"].alias("i")))
+
+    return F.aggregate(F.split(expanded(cigar), ""), start, step, lambda acc: F.substring(acc["out"], first.cast("int") + 1, F.greatest(acc["end"] - first.cast("int"), F.lit(0))))
+
+
 def gap_of(operations: Column) -> list[Column]:
     """max_gap and total of expanded operations: the longest run of edits that a match ends (1 at least if there is any edit, else 0), and the edits."""
     total = F.length(F.regexp_replace(operations, "M", ""))

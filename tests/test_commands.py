@@ -136,6 +136,32 @@ def test_alignment_statistics(spark, tmp_path):
     assert tuple(one) == ("MMMIDDM", "MMMDDM", 3, 4, 0, 0)
 
 
+def test_operations_of_a_stretch(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(80):
+        ops = "M" + "".join(rng.choice("MMMID") for _ in range(rng.randrange(4, 14)))
+        cigar = "".join(f"{len(m[0])}{m[0][0]}" for m in re.finditer(r"M+|I+|D+", ops))
+        letters = [c if c == "D" else rng.choice("MMX") for c in ops if c != "I"]
+        md = "".join(str(len(m[0])) if m[0][0] == "M" else "^" + "A" * len(m[0]) if m[0][0] == "D" else "C" * len(m[0]) for m in re.finditer("M+|D+|X+", "".join(letters)))
+        md = re.sub(r"(\^A+)(?=C)", r"\g<1>0", md)
+        first = rng.randrange(3)
+        last = first + rng.randrange(1, 8)
+        out, i, end = [], 0, last
+        for c, op in enumerate(ops):
+            if c > end + 1:
+                break
+            if op == "I":
+                out.append("I")
+                end += 1
+            else:
+                out.append(letters[i])
+                i += 1
+        rows.append((rng.choice(["", "2S"]) + cigar, md, first, last, "".join(out)[first:end]))
+    df = spark.createDataFrame(rows, "c string, m string, a int, b int, want string")
+    assert all(r.got == r.want for r in df.select("want", statistics.adjusted(F.col("c"), F.col("m"), F.col("a"), F.col("b")).alias("got")).collect())
+
+
 def test_tables_of_hits(spark, tmp_path):
     raw = spark.createDataFrame([("a", "AACAGGTCTTGA", 0), ("b", "GTTTGACCAAAC", 1), ("c", "CCCCCCCCCCCC", 2)], "name string, seq string, ord long")
     reads = spark.createDataFrame([(0, "x", "TTAACAGGTCTTGAC"), (1, "y", "TCAAGACCTGTT"), (2, "z", "GTTTGACCAAACAACAGGTCTTGA"), (3, "w", "AACAGGTCTTGG")], "read_id long, name string, seq string")
