@@ -290,6 +290,49 @@ def test_near_duplicates_compare_every_pair_of_a_bucket(spark):
     assert {(r.root, r.node) for r in forest.collect() if r.root != r.node} == want
 
 
+def test_near_duplicates_beside_an_unlike_first_text(spark):
+    rng = random.Random(24)
+    one, other = prose(rng, 80), prose(rng, 80)
+    texts = [other, one, one + " more"]
+    keyed = spark.createDataFrame([(i, 7) for i in range(3)], "doc_id long, key long")
+    found, forest = nd.links(keyed, docs_of(spark, texts))
+    assert [tuple(r) for r in found.select("a", "b").collect()] == [(1, 2)] and [(r.node, r.root) for r in forest.collect()] == [(2, 1)]
+
+
+def test_near_duplicates_in_a_large_bucket_of_unlike_texts(spark, monkeypatch):
+    """All links of a bucket whose texts share a passage, against all pairs; in many blocks."""
+    rng = random.Random(25)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, texts = words(60), []
+    for _ in range(60):
+        texts.append(passage[:] + words(40))
+    for i in range(60):  # some pairs just above the bound, some just below it
+        t = list(texts[rng.randrange(60)])
+        for _ in range(rng.randrange(1, 5)):
+            t[rng.randrange(len(t))] = "changed"
+        texts.append(t + rng.choice([[], t[:9], words(3)]))
+    texts = [" ".join(t) for t in texts]
+    monkeypatch.setattr(nd, "BLOCK_CHARS", 4000)
+    monkeypatch.setattr(nd, "TRIED", 99)  # nothing is settled by centres
+    n = len(texts)
+    sets = [nd.weighted(t) for t in texts]
+    parent = list(range(n))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    pairs = [(i, j) for j in range(n) for i in range(j) if nd.similarity(sets[i], sets[j]) >= 0.8]
+    for i, j in pairs:
+        a, b = sorted((root(i), root(j)))
+        parent[b] = a
+    keyed = spark.createDataFrame([(i, 7) for i in range(n)], "doc_id long, key long").repartition(3)
+    found, forest = nd.links(keyed, docs_of(spark, texts))
+    assert {tuple(r) for r in found.select("a", "b").collect()} <= set(pairs) and len(pairs) > 20
+    assert {(r.node, r.root) for r in forest.collect() if r.node != r.root} == {(i, root(i)) for i in range(n) if root(i) != i}
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     e, size = rng.integers(1, 2**62, 300).astype(np.uint64), 4096
@@ -719,3 +762,23 @@ def test_pipeline(spark, tmp_path):
     assert [set(s) for s in seen] == [{0, 1, 2, 3}, {0, 2, 3}, {0, 2, 3}, {0, 2, 3}]
     assert "item0" not in seen[2][2].text and seen[2][2].n_chars == len(seen[2][2].text) and "<EMAIL>" in seen[3][3].text
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == 3
+
+
+def test_pipeline_takes_odd_rows_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(26)
+    a, b = prose(rng, 80), prose(rng, 60)
+    rows = [(i, t, "en", "s", 0, "x", "y", "z") for i, t in [(None, a), (None, a), (3, a), (3, b), (4, None), (5, ""), (6, "123 %"), (7, a + " x"), (2, b), (2, b)]]
+    spark.createDataFrame([(0, None), (None, "no such item here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for docs in (spark.createDataFrame(rows, DOCS).repartition(3), spark.createDataFrame([], DOCS)):
+        size = docs.count()
+        left = docs
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, left, str(tmp_path))
+            assert left.columns == docs.columns
+        got = left.collect()
+        # null doc_ids stay; of a class the smallest doc_id; what has no language goes
+        assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(str(x) for x in ([(None, a), (None, a), (3, a), (2, b)] if size else []))
+        packed = corpus_pipeline.STAGES[-1][1](spark, left, str(tmp_path)).collect()
+        assert len(packed) == len(got) and all(r.length <= 1024 for r in packed)
