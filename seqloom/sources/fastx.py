@@ -112,6 +112,8 @@ def records(spark: SparkSession, path: str) -> DataFrame:
         return pd.DataFrame(out, columns=["name", "seq", "qual", "ord"])
 
     whole = found.where(F.col("part").isNull()).select("name", "seq", "qual", "ord")
+    if all(f.endswith(".gz") for f in rows.inputFiles()):  # never split
+        return whole.withColumn("name", dna.first_word(F.col("name")))
     cut = found.where(F.col("part").isNotNull()).groupBy("file").applyInPandas(join, "name string, seq string, qual string, ord long")  # at most a few for each split of a file
     return whole.unionByName(cut).withColumn("name", dna.first_word(F.col("name")))
 
