@@ -7,13 +7,16 @@ probability equal to the probability Jaccard similarity of the texts; bands of f
 verified by that similarity, computed exactly.
 
 Scale. Equal word sequences fall together first (a hash aggregation with partial sums). In a band's bucket a text that shares TRIED buckets
-with the bucket's centre is compared with it; this settles most, and only saves work. Texts of buckets that are not one component then
-are compared exactly. Let X be the share of x on shingles that y lacks, Y that of y on shingles that x lacks; the similarity is at most
+with the bucket's centre is compared with it; this settles most, and only saves work. Buckets that are not one component then are compared
+exactly. Of one with up to SMALL texts the pairs are made rows, each pair once. Larger buckets that share texts are a cell, and only texts of
+one cell are compared: chains of chance pairs in small buckets would join most texts of a large table. Let X be the share of x on shingles that y lacks, Y that of y on shingles that x lacks; the similarity is at most
 (1 - X)(1 - Y) / (1 - XY). So similar texts have a first common shingle, rare ones first, with little weight before it in both (in any order
 that is the same for all texts; it comes from a bounded sample, and a sample changes the work, not the result). The texts that can be similar by
-that bound are joined into groups, a star for each shingle; groups are dealt into pairs of blocks of about BLOCK_CHARS characters, and a task
-compares two blocks by matrix products of shares and supports: no pair is made a row but verified links. So all pairs that share a bucket are
-compared or are in one class. A group's work grows with the square of its blocks, where texts are that alike and still not of one class.
+that bound are joined into groups, a star for each shingle of a cell; groups are dealt into pairs of blocks, and a task compares two blocks, in
+parts of about BLOCK_CHARS characters, by matrix products of shares and supports: no pair of them is made a row but verified links. So all pairs
+that share a bucket are compared or are in one class. A text is sent once for each block of its group: at most COPIES times, until blocks have
+WIDE_CHARS characters. What is sent goes in rounds, so that disk holds one round and not all of them. A group's work grows with the square of its
+characters, where texts are that alike and still not of one class.
 Components come from min-label propagation in tables. Nothing of the documents reaches the driver but counts.
 
 Defined results: null texts and wordless texts have no shingles: null ones and null doc_ids stay alone, equal wordless texts are copies. The class
@@ -38,8 +41,14 @@ WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 4
 BROADCAST_IDS = 1_000_000
 #: Texts whose shingles give the order of prefixes, and the number of frequent shingles that the order knows.
 ORDER_TEXTS, ORDER_SIZE = 10_000, 200_000
-#: Buckets that a text shares with a centre to be compared with it; characters of a block of texts; columns of a matrix product.
-TRIED, BLOCK_CHARS, COLUMNS = 3, 256_000, 1024
+#: Buckets that a text shares with a centre to be compared with it; characters of a part of a block (and those that a text counts beside its own); columns of a matrix product.
+TRIED, BLOCK_CHARS, TEXT_CHARS, COLUMNS = 3, 256_000, 100, 1024
+#: Texts of a bucket whose pairs are made rows (half as many a text, at most).
+SMALL = 16
+#: Blocks of a group, until a block has WIDE_CHARS characters.
+COPIES, WIDE_CHARS = 16, 8_000_000
+#: Characters sent to be compared in one round: so many times those of the groups' texts, or so many.
+ROUND_TIMES, ROUND_CHARS = 2, 1_000_000_000
 _MULT = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -193,7 +202,7 @@ def prefix(elements: np.ndarray, weights: np.ndarray, frequent: np.ndarray, ofte
 
 
 def neighbours(apart: DataFrame, texts: DataFrame, n: int, least: float) -> DataFrame | None:
-    """node, root: groups of the n texts of apart (doc_id, root) outside of which no text is similar to one of them; None if there are none."""
+    """node, root: groups of the n texts of apart (doc_id, root, cell) outside of which no text of its cell is similar to one of them; None if there are none."""
     mine = common.stage(texts.join(F.broadcast(apart) if n <= BROADCAST_IDS else apart, "doc_id"), "apart-texts")
     share = min(common.MAX63, int(ORDER_TEXTS / n * (1 << 63)))
 
@@ -213,14 +222,14 @@ def neighbours(apart: DataFrame, texts: DataFrame, n: int, least: float) -> Data
             parts = [prefix(*weighted(t), *shared.value, least) for t in common.texts(batch)]
             of = pa.array(np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]))
             flat, before = (np.concatenate([np.zeros(0, kind), *(p[i] for p in parts)]) for i, kind in enumerate((np.uint64, float)))
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), batch.column("root").take(of), batch.column("doc_id").take(of), pa.array(before)], names=["s", "root", "doc_id", "before"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), *(batch.column(c).take(of) for c in ("cell", "root", "doc_id")), pa.array(before)], names=["s", "cell", "root", "doc_id", "before"])
 
-    rows = common.stage(mine.select("doc_id", "root", "text").mapInArrow(rare, "s long, root long, doc_id long, before double"), "prefixes")
-    # the text with the least before a shingle is a partner of every text there that has one
-    first = rows.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct("before", "doc_id")).alias("f")).where("r0 != r1")
-    first = common.stage(first.select("s", F.col("f.before").alias("b0"), F.col("f.doc_id").alias("d0")), "firsts")
+    rows = common.stage(mine.select("doc_id", "root", "cell", "text").mapInArrow(rare, "s long, cell long, root long, doc_id long, before double"), "prefixes")
+    # the text with the least before a shingle is a partner of every text of the cell there that has one
+    first = rows.groupBy("cell", "s").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct("before", "doc_id")).alias("f")).where("r0 != r1")
+    first = common.stage(first.select("cell", "s", F.col("f.before").alias("b0"), F.col("f.doc_id").alias("d0")), "firsts")
     x, y = F.col("before"), F.col("b0")
-    near = rows.join(first, "s").where((F.col("doc_id") != F.col("d0")) & ((1 - x) * (1 - y) >= least * (1 - x * y) - 1e-9))
+    near = rows.join(first, ["cell", "s"]).where((F.col("doc_id") != F.col("d0")) & ((1 - x) * (1 - y) >= least * (1 - x * y) - 1e-9))
     edges = common.stage(near.select(F.least("doc_id", "d0").alias("a"), F.greatest("doc_id", "d0").alias("b")).distinct(), "near")
     if edges.isEmpty():
         return None
@@ -265,38 +274,101 @@ def compare(sets: list, roots: list[int], left: np.ndarray, right: np.ndarray, l
     return out
 
 
+def parts(sizes: list[int]) -> list[slice]:
+    """Consecutive parts of about BLOCK_CHARS; a larger text is a part of its own."""
+    out, at, total = [], 0, 0
+    for k, size in enumerate(sizes):
+        if k > at and total + size > BLOCK_CHARS:
+            out.append(slice(at, k))
+            at, total = k, 0
+        total += size
+    return [*out, slice(at, len(sizes))] if sizes else []
+
+
+def compare_blocks(left: list, right: list | None, least: float) -> list[tuple[int, int]]:
+    """Links (doc_ids a < b) of left texts (doc_id, root, set, size) to right ones, or of left ones with one another, part by part."""
+    parent: dict[int, int] = {}
+
+    def top(r: int) -> int:
+        while (up := parent.get(r, r)) != r:
+            parent[r] = r = parent.get(up, up)
+        return r
+
+    out = []
+    one, other = ([rows[at] for at in parts([r[3] for r in rows])] for rows in (left, left if right is None else right))
+    for k, a in enumerate(one):
+        for m, b in enumerate(other):
+            if right is None and m < k:
+                continue
+            both = a if right is None and m == k else a + b
+            i = np.arange(len(a))
+            found = compare([r[2] for r in both], [top(r[1]) for r in both], i, i if both is a else np.arange(len(a), len(both)), least)
+            for p, q in found:
+                parent[top(both[p][1])] = top(both[q][1])
+                out.append((min(both[p][0], both[q][0]), max(both[p][0], both[q][0])))
+    return out
+
+
 def within(groups: DataFrame, apart: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Links (a < b) that join all texts of a group (node, root) that are similar and not of one root in apart (doc_id, root) yet."""
     own = texts.join(groups.select(F.col("node").alias("doc_id"), F.col("root").alias("g")), "doc_id").join(apart, "doc_id")
     own = common.stage(own.select("doc_id", "text", "root", "g"), "grouped")
-    blocks = common.stage(own.groupBy("g").agg(F.ceil(F.sum(F.length("text")) / BLOCK_CHARS).alias("blocks")), "blocks")
+    sizes = own.groupBy("g").agg(F.sum(F.length("text") + TEXT_CHARS).alias("size"))
+    count = F.least(F.ceil(F.col("size") / BLOCK_CHARS), F.greatest(F.lit(COPIES), F.ceil(F.col("size") / WIDE_CHARS)))
+    blocks = common.stage(sizes.select("g", "size", count.cast("long").alias("blocks")), "blocks")
+    held, sent = blocks.agg(F.sum("size"), F.sum(F.col("size") * F.col("blocks").cast("double"))).first()
+    rounds = max(1, int(-(-sent // max(ROUND_CHARS, ROUND_TIMES * held))))
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     dealt = own.join(blocks, "g").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "root", "text")
 
     def run(batches):
-        key, rows = None, []
+        key, rows = None, ([], [])
 
         def flush():
-            sets = [weighted(r[3]) for r in rows]
-            i, j = key[1:]
-            block = np.array([r[0] for r in rows])
-            found = compare(sets, [r[2] for r in rows], np.flatnonzero(block == i), np.flatnonzero(block == j), least)
-            ends = [sorted((rows[p][1], rows[q][1])) for p, q in found]
+            ends = compare_blocks(rows[0], rows[1] if key[1] != key[2] else None, least)
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("g", "i", "j", "block", "doc_id", "root")]
             for g, i, j, b, doc_id, root, text in zip(*cols, common.texts(batch)):
                 if (g, i, j) != key:
-                    if rows:
+                    if key is not None:
                         yield flush()
-                    key, rows = (g, i, j), []
-                rows.append((b, doc_id, root, text))
-        if rows:
+                    key, rows = (g, i, j), ([], [])
+                rows[b != i].append((doc_id, root, weighted(text), len(text) + TEXT_CHARS))
+        if key is not None:
             yield flush()
 
-    return dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    found = None
+    for k in range(rounds):
+        now = dealt if rounds == 1 else dealt.where(F.pmod(F.xxhash64(F.lit(29), "g", "i", "j"), F.lit(rounds)) == k)
+        now = now.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long").distinct()
+        now = common.stage(now, "compared")
+        found = now if found is None else found.union(now)
+        if rounds > 1:
+            common.free(own.sparkSession)
+    return found
+
+
+def small_pairs(roots: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Pairs (a < b) of texts of different roots in the buckets of mixed (key, n) with up to SMALL texts; roots: key, a, b, root."""
+    few = roots.join(mixed.where(F.col("n") <= SMALL).select("key"), "key").groupBy("key").agg(F.collect_list(F.struct("b", "root")).alias("m"))
+    few = few.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y")).where("x.b < y.b and x.root != y.root")
+    return few.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
+
+
+def large_links(roots: DataFrame, mixed: DataFrame, texts: DataFrame, least: float) -> DataFrame | None:
+    """Links (a < b) that join the similar texts of the buckets of mixed (key, n) with more than SMALL texts; roots: key, a, b, root."""
+    many = common.stage(roots.join(mixed.where(F.col("n") > SMALL).select("key"), "key").select("a", "b", "root").distinct(), "many")
+    if many.isEmpty():
+        return None
+    # buckets with a text in common are a cell; the smallest doc_id of each is a star's centre
+    cells = components(many.select("a", "b").where("a != b").distinct()).select(F.col("node").alias("doc_id"), F.col("root").alias("cell"))
+    apart = many.select(F.col("b").alias("doc_id"), "root").distinct().join(cells, "doc_id", "left")
+    apart = common.stage(apart.select("doc_id", "root", F.coalesce("cell", "doc_id").alias("cell")), "apart")
+    groups = neighbours(apart, texts, apart.count(), least)
+    return None if groups is None else within(groups, apart, texts, least)
 
 
 def links(keyed: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame | None]:
@@ -306,18 +378,17 @@ def links(keyed: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> tuple
     members = common.stage(keyed.join(centres, "key").select("key", F.col("doc_id").alias("b"), "a"), "members")
     texts = pool(docs, members.select(F.col("b").alias("doc_id")))
     tried = members.where("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= TRIED)
-    found = common.stage(verified(common.stage(tried.select("a", "b"), "pairs"), texts, least), "links")
+    tried = common.stage(tried.select("a", "b"), "pairs")
+    found = common.stage(verified(tried, texts, least), "links")
     forest = None if found.isEmpty() else components(found)
     # buckets whose texts are not in one component yet; a text without a link is its own root
-    roots = members.select("key", "b", F.col("b").alias("root")) if forest is None else members.join(forest.withColumnRenamed("node", "b"), "b", "left").select("key", "b", F.coalesce("root", "b").alias("root"))
+    roots = members.select("key", "a", "b", F.col("b").alias("root")) if forest is None else members.join(forest.withColumnRenamed("node", "b"), "b", "left").select("key", "a", "b", F.coalesce("root", "b").alias("root"))
     roots = common.stage(roots, "roots")
-    mixed = common.stage(roots.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key"), "mixed")
-    apart = common.stage(roots.join(mixed, "key", "left_semi").select(F.col("b").alias("doc_id"), "root").distinct(), "apart")
-    n = apart.count()
-    groups = neighbours(apart, texts, n, least) if n else None
-    if groups is None:
-        return found, forest
-    more = common.stage(within(groups, apart, texts, least), "more")
+    mixed = roots.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
+    mixed = common.stage(mixed.select("key", "n"), "mixed")
+    more = common.stage(verified(common.stage(small_pairs(roots, mixed).join(tried, ["a", "b"], "left_anti"), "small-pairs"), texts, least), "more")
+    if (large := large_links(roots, mixed, texts, least)) is not None:
+        more = common.stage(more.union(large).distinct(), "all-more")
     if more.isEmpty():
         return found, forest
     edges = more if forest is None else forest.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)

@@ -333,6 +333,34 @@ def test_near_duplicates_in_a_large_bucket_of_unlike_texts(spark, monkeypatch):
     assert {(r.node, r.root) for r in forest.collect() if r.node != r.root} == {(i, root(i)) for i in range(n) if root(i) != i}
 
 
+def staged(monkeypatch, name, rows):
+    """From now on rows gets the rows of each staged table of that name."""
+    from seqloom.llm import common
+
+    def stage(df, at, f=common.stage):
+        out = f(df, at)
+        if at == name:
+            rows.append(out.collect())
+        return out
+
+    monkeypatch.setattr(common, "stage", stage)
+
+
+def test_near_duplicates_in_a_chain_of_small_buckets(spark, monkeypatch):
+    """Texts that share halves, pair by pair, are no group whose texts are all compared with one another."""
+    rng = random.Random(26)
+    half = [[f"w{rng.randrange(10**6)}" for _ in range(200)] for _ in range(31)]
+    texts = [" ".join(half[i] + half[i + 1]) for i in range(30)]
+    texts.append(texts[7] + " more")
+    monkeypatch.setattr(nd, "BLOCK_CHARS", 4000)
+    monkeypatch.setattr(nd, "TRIED", 99)  # nothing is settled by centres
+    staged(monkeypatch, "blocks", blocks := [])
+    keyed = spark.createDataFrame([(i + k, i) for i in range(29) for k in (0, 1)] + [(30, 7), (30, 8)], "doc_id long, key long")
+    found, forest = nd.links(keyed, docs_of(spark, texts))
+    assert [tuple(r) for r in found.select("a", "b").collect()] == [(7, 30)] and [(r.node, r.root) for r in forest.collect()] == [(30, 7)]
+    assert max((r.blocks for rows in blocks for r in rows), default=0) <= 1
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     e, size = rng.integers(1, 2**62, 300).astype(np.uint64), 4096
