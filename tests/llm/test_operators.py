@@ -361,6 +361,23 @@ def test_near_duplicates_in_a_chain_of_small_buckets(spark, monkeypatch):
     assert max((r.blocks for rows in blocks for r in rows), default=0) <= 1
 
 
+def test_near_duplicates_send_a_text_a_bounded_number_of_times(spark, monkeypatch):
+    """A group of many blocks: few copies of its texts, in rounds, and still all links."""
+    rng = random.Random(27)
+    half = [[f"w{rng.randrange(10**6)}" for _ in range(200)] for _ in range(51)]
+    texts = [" ".join(half[i] + half[i + 1]) for i in range(50)]
+    texts += [texts[i] + " more" for i in range(0, 50, 9)]
+    monkeypatch.setattr(nd, "BLOCK_CHARS", 500)
+    monkeypatch.setattr(nd, "TRIED", 99)
+    monkeypatch.setattr(nd, "ROUND_CHARS", 1, raising=False)
+    staged(monkeypatch, "blocks", blocks := [])
+    staged(monkeypatch, "compared", rounds := [])
+    keyed = spark.createDataFrame([(i, 7) for i in range(len(texts))], "doc_id long, key long").repartition(3)
+    found, forest = nd.links(keyed, docs_of(spark, texts))
+    assert sorted(tuple(r) for r in found.select("a", "b").collect()) == [(i, 50 + k) for k, i in enumerate(range(0, 50, 9))]
+    assert max(r.blocks for rows in blocks for r in rows) == 16 and len(rounds) > 1
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     e, size = rng.integers(1, 2**62, 300).astype(np.uint64), 4096
