@@ -60,7 +60,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again."""
     path = new_folder(df.sparkSession, name) + "/t"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a staged table that nothing reads any more; other tables stay as they are."""
+    if path := getattr(df, "_staged", None):
+        p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def free(spark: SparkSession) -> None:

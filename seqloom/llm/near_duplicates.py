@@ -17,6 +17,8 @@ parts of about BLOCK_CHARS characters, by matrix products of shares and supports
 that share a bucket are compared or are in one class. A text is sent once for each block of its group: at most COPIES times, until blocks have
 WIDE_CHARS characters. What is sent goes in rounds, so that disk holds one round and not all of them. A group's work grows with the square of its
 characters, where texts are that alike and still not of one class.
+Pairs of rows go in rounds too, by the characters of their texts and those of all texts in shared buckets; a round moves only texts of its pairs.
+Staged tables go when nothing reads them any more, and shuffle files after each step that moves texts or band keys.
 Components come from min-label propagation in tables. Nothing of the documents reaches the driver but counts.
 
 Defined results: null texts and wordless texts have no shingles: null ones and null doc_ids stay alone, equal wordless texts are copies. The class
@@ -49,6 +51,8 @@ SMALL = 16
 COPIES, WIDE_CHARS = 16, 8_000_000
 #: Characters sent to be compared in one round: so many times those of the groups' texts, or so many.
 ROUND_TIMES, ROUND_CHARS = 2, 1_000_000_000
+#: The same of the texts of pairs, as a share of those of all texts in shared buckets (ROUND_CHARS if that's more); most rounds that are made only to keep to BROADCAST_IDS.
+PAIRS_SHARE, ID_ROUNDS = 0.5, 16
 _MULT = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -145,16 +149,43 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
 
 def pool(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text of those ids. Up to BROADCAST_IDS of them are counted and then broadcast, so that only their texts move."""
+    """doc_id, text of those ids. They are counted and then broadcast, up to BROADCAST_IDS at a time, so that only their texts move; in ID_ROUNDS rounds at most."""
     wanted = common.stage(ids.distinct(), "ids")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    return common.stage(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "pool")
+    n, out = wanted.count(), None
+    rounds = max(1, min(ID_ROUNDS, -(-n // BROADCAST_IDS)))
+    for k in range(rounds):
+        own, now = docs.select("doc_id", "text"), wanted
+        if rounds > 1:
+            own, now = (t.where(F.pmod(F.xxhash64(F.lit(31), "doc_id"), F.lit(rounds)) == k) for t in (own, now))
+        now = common.stage(own.join(F.broadcast(now) if n <= rounds * BROADCAST_IDS else now, "doc_id", "left_semi"), "pool")
+        out = now if out is None else out.union(now)
+        common.free(docs.sparkSession)
+    return out
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose texts are at least that similar."""
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    """The pairs (a, b) of a staged table whose texts are at least that similar."""
+    sizes = texts.select("doc_id", F.length("text").alias("size"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    n, sent = ends.join(sizes, "doc_id").agg(F.count(F.lit(1)), F.sum("size")).first()
+    held = sizes.agg(F.sum("size")).first()[0] or 0
+    rounds = max(1, int(-(-(sent or 0) // max(ROUND_CHARS, PAIRS_SHARE * held))), min(ID_ROUNDS, -(-n // BROADCAST_IDS)))
+    out = None
+    for k in range(rounds):
+        # a text has few pairs as b, so rounds are alike in size
+        now = pairs if rounds == 1 else pairs.where(F.pmod(F.xxhash64(F.lit(37), "b"), F.lit(rounds)) == k)
+        now = common.stage(_verified(now, texts, least, n <= rounds * BROADCAST_IDS), "links")
+        out = now if out is None else out.union(now)
+        common.free(pairs.sparkSession)
+    return out
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, least: float, few: bool) -> DataFrame:
+    def of(c: str) -> DataFrame:
+        own = texts.join(F.broadcast(pairs.select(F.col(c).alias("doc_id")).distinct()), "doc_id", "left_semi") if few else texts
+        return own.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+
+    both = pairs.join(of("b"), "b").join(of("a"), "a")
 
     def run(batches):
         last: tuple = (None, None)
@@ -311,8 +342,11 @@ def compare_blocks(left: list, right: list | None, least: float) -> list[tuple[i
 
 def within(groups: DataFrame, apart: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Links (a < b) that join all texts of a group (node, root) that are similar and not of one root in apart (doc_id, root) yet."""
-    own = texts.join(groups.select(F.col("node").alias("doc_id"), F.col("root").alias("g")), "doc_id").join(apart, "doc_id")
+    nodes = groups.select(F.col("node").alias("doc_id"), F.col("root").alias("g")).join(apart.select("doc_id", "root"), "doc_id")
+    nodes = common.stage(nodes, "nodes")
+    own = texts.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes, "doc_id")
     own = common.stage(own.select("doc_id", "text", "root", "g"), "grouped")
+    common.free(own.sparkSession)
     sizes = own.groupBy("g").agg(F.sum(F.length("text") + TEXT_CHARS).alias("size"))
     count = F.least(F.ceil(F.col("size") / BLOCK_CHARS), F.greatest(F.lit(COPIES), F.ceil(F.col("size") / WIDE_CHARS)))
     blocks = common.stage(sizes.select("g", "size", count.cast("long").alias("blocks")), "blocks")
@@ -372,21 +406,29 @@ def large_links(roots: DataFrame, mixed: DataFrame, texts: DataFrame, least: flo
 
 
 def links(keyed: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame | None]:
-    """Verified links (a < b) that join the similar texts of keyed (doc_id, key; ids not repeated), and their components (None without a link)."""
+    """Verified links (a < b) that join the similar texts of keyed (doc_id, key; ids not repeated), and their components (None without a link).
+
+    A staged keyed is discarded.
+    """
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a")).where("n > 1")
     centres = common.stage(shared.select("key", "a"), "centres")
+    common.free(docs.sparkSession)
     members = common.stage(keyed.join(centres, "key").select("key", F.col("doc_id").alias("b"), "a"), "members")
+    common.discard(keyed)
+    common.discard(centres)
+    common.free(docs.sparkSession)
     texts = pool(docs, members.select(F.col("b").alias("doc_id")))
     tried = members.where("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= TRIED)
     tried = common.stage(tried.select("a", "b"), "pairs")
-    found = common.stage(verified(tried, texts, least), "links")
+    found = verified(tried, texts, least)
     forest = None if found.isEmpty() else components(found)
     # buckets whose texts are not in one component yet; a text without a link is its own root
     roots = members.select("key", "a", "b", F.col("b").alias("root")) if forest is None else members.join(forest.withColumnRenamed("node", "b"), "b", "left").select("key", "a", "b", F.coalesce("root", "b").alias("root"))
     roots = common.stage(roots, "roots")
     mixed = roots.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
     mixed = common.stage(mixed.select("key", "n"), "mixed")
-    more = common.stage(verified(common.stage(small_pairs(roots, mixed).join(tried, ["a", "b"], "left_anti"), "small-pairs"), texts, least), "more")
+    common.discard(members)
+    more = verified(common.stage(small_pairs(roots, mixed).join(tried, ["a", "b"], "left_anti"), "small-pairs"), texts, least)
     if (large := large_links(roots, mixed, texts, least)) is not None:
         more = common.stage(more.union(large).distinct(), "all-more")
     if more.isEmpty():
@@ -427,9 +469,11 @@ def _classes(docs: DataFrame, least: float, bands: int = BANDS, rows: int = ROWS
     """As classes, of doc_ids that are not repeated."""
     sig = common.stage(signed(docs, bands, rows), "signatures")
     first = common.stage(sig.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "first")
-    member = sig.select("doc_id", "k1", "k2").join(first, ["k1", "k2"]).select("doc_id", "rep")
+    member = common.stage(sig.select("doc_id", "k1", "k2").join(first, ["k1", "k2"]).select("doc_id", "rep"), "member")
     own = sig.select("doc_id", "keys").join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     keyed = common.stage(own.select("doc_id", F.explode("keys").alias("key")), "keyed")
+    common.discard(sig)
+    common.free(docs.sparkSession)
     found, forest = links(keyed, docs, least)
     ends = found.select("a").union(found.select(F.col("b").alias("a")))
     info = ends.groupBy("a").agg(F.count(F.lit(1)).alias("n_links")).withColumnRenamed("a", "rep")

@@ -1,6 +1,7 @@
 """The training-data operators on small tables: against brute force, and on nulls, empty tables, ties, repeated rows and extra columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -378,6 +379,30 @@ def test_near_duplicates_send_a_text_a_bounded_number_of_times(spark, monkeypatc
     assert max(r.blocks for rows in blocks for r in rows) == 16 and len(rounds) > 1
 
 
+def test_near_duplicates_verify_pairs_in_rounds(spark, monkeypatch):
+    """Pairs, and the texts of shared buckets, are sent in rounds and all links are found; band keys go when they are of no more use."""
+    from seqloom.llm import common
+
+    rng = random.Random(28)
+    texts = [prose(rng, 60) for _ in range(40)]
+    texts += [t + " more" for t in texts] + [t + " and more" for t in texts]
+    keyed = spark.createDataFrame([(i, i % 40) for i in range(120)], "doc_id long, key long").repartition(3)
+    keyed = common.stage(keyed, "keyed")
+    path = keyed.inputFiles()[0].removeprefix("file:")
+    monkeypatch.setattr(nd, "ROUND_CHARS", 1)
+    monkeypatch.setattr(nd, "BROADCAST_IDS", 30)
+    monkeypatch.setattr(nd, "TRIED", 1)
+    staged(monkeypatch, "links", rounds := [])
+    staged(monkeypatch, "pool", pools := [])
+    found, forest = nd.links(keyed, docs_of(spark, texts))
+    assert {(r.node, r.root) for r in forest.collect() if r.node != r.root} == {(i, i % 40) for i in range(40, 120)}
+    assert sorted(tuple(r) for r in found.select("a", "b").collect()) == sorted((i % 40, i) for i in range(40, 120))
+    pairs, texts_ = [len(r) for r in rounds if r], [len(r) for r in pools]
+    assert len(pairs) > 2 and sum(pairs) == 80 and max(pairs) < 60
+    assert len(texts_) == 4 and sum(texts_) == 120 and max(texts_) < 60
+    assert not os.path.exists(path)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     e, size = rng.integers(1, 2**62, 300).astype(np.uint64), 4096
